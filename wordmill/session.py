@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -45,7 +48,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application: they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as d:  # the driver serves the archive; adding it takes a copy
+        archive = Path(d) / f"{root.name}-{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        kept = scratch(spark, "package") + ".zip"
+        jvm = spark.sparkContext._jvm
+        to = jvm.org.apache.hadoop.fs.Path(kept)
+        fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(str(archive)), to)
+    spark.sparkContext.addPyFile(kept)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -17,6 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("score > 0").select("doc_id", "term")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.neardup import duplicate_pairs
+
+    return duplicate_pairs(table(spark, sf_dir, "documents"), words=3, theta=0.5)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.sitelines import repeated_lines
 
@@ -60,7 +66,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p3_found, p3_texts, p5_found, p5_counts, p8_ids, p9_containers)
+    for f in (p1_found, p2_found, p3_found, p3_texts, p5_found, p5_counts, p8_ids, p9_containers)
 }
 
 _TERM = "replace(lower(trim(nfc_normalize(term), ' ' || chr(9) || chr(10) || chr(13) || chr(160))), 'ё', 'е')"

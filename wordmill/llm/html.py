@@ -1,8 +1,8 @@
 """Visible blocks of a page, read with one pass of a tag tokenizer.
 
 A block is the visible text between two dividing tags; ``a b i em strong span`` do not divide.
-Each block carries what later stages ask of it: the share of its text inside links, the
-innermost dividing elements around it, and its running number.
+Each block carries what later stages ask of it: the share of its text inside links and the
+dividing elements around it.
 """
 
 from __future__ import annotations
@@ -25,10 +25,8 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 class Block(NamedTuple):
     text: str
     link_share: float
-    path: tuple[str, ...]
-    start: int  # identity of the innermost dividing element
-    parent: int  # identity of the one around it
-    attrs: str  # attributes of the innermost dividing element
+    path: tuple[str, ...]  # names of the dividing elements around it, outermost first
+    ids: tuple[int, ...]  # their identities
 
 
 def squeeze(text: str) -> str:
@@ -45,7 +43,7 @@ def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order; a page without text gives none."""
     html = _HIDDEN.sub("\x00", html)
     out: list[Block] = []
-    stack: list[tuple[str, int, str]] = [("", 0, "")]
+    stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = total = 0
     in_link = 0
@@ -57,8 +55,7 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = squeeze("".join(parts))
             if text:
-                top = stack[-1]
-                out.append(Block(text, linked / max(1, total), tuple(s[0] for s in stack[1:]), top[1], stack[-2][1] if len(stack) > 1 else 0, top[2]))
+                out.append(Block(text, linked / max(1, total), tuple(s[0] for s in stack), tuple(s[1] for s in stack)))
             parts.clear()
         linked = total = 0
 
@@ -90,16 +87,16 @@ def blocks_of(html: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
         else:
             shut = AUTO_CLOSE.get(name)
-            while shut and stack[-1][0] in shut:
+            while shut and stack and stack[-1][0] in shut:
                 stack.pop()
             serial += 1
-            stack.append((name, serial, m.group(3).strip()))
+            stack.append((name, serial))
     if pos < len(html):
         push(html[pos:].replace("\x00", ""))
     flush()

@@ -35,6 +35,12 @@ def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.mainbody import main_blocks
+
+    return main_blocks(table(spark, sf_dir, "robot_pages")).select("page_id", "block_md5")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.termfreq import term_frequencies
 
@@ -47,6 +53,18 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequencies(table(spark, sf_dir, "postings"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.residue import residue_pages
+
+    return residue_pages(table(spark, sf_dir, "robot_pages")).select("page_id")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.residue import without_residue
+
+    return without_residue(table(spark, sf_dir, "robot_pages"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.encode import encode_corpus
 
@@ -66,7 +84,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p3_found, p3_texts, p5_found, p5_counts, p8_ids, p9_containers)
+    for f in (p1_found, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p8_ids, p9_containers)
 }
 
 _TERM = "replace(lower(trim(nfc_normalize(term), ' ' || chr(9) || chr(10) || chr(13) || chr(160))), 'ё', 'е')"

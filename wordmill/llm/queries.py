@@ -65,6 +65,20 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "robot_pages"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.quality import text_quality
+
+    return text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).where("not is_prose").select("doc_id")
+
+
+def p7_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).drop("is_prose")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.encode import encode_corpus
 
@@ -84,7 +98,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p8_ids, p9_containers)
+    for f in (p1_found, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p7_found, p7_figures, p8_ids, p9_containers)
 }
 
 _TERM = "replace(lower(trim(nfc_normalize(term), ' ' || chr(9) || chr(10) || chr(13) || chr(160))), 'ё', 'е')"

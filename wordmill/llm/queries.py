@@ -96,9 +96,21 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes).withColumnsRenamed({"item": "doc_id", "size": "n_tokens", "start": "start_token"})
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.pii import personal_items
+
+    return personal_items(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.pii import masked_texts
+
+    return masked_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p7_found, p7_figures, p8_ids, p9_containers)
+    for f in (p1_found, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p7_found, p7_figures, p8_ids, p9_containers, p10_found, p10_texts)
 }
 
 _TERM = "replace(lower(trim(nfc_normalize(term), ' ' || chr(9) || chr(10) || chr(13) || chr(160))), 'ё', 'е')"

@@ -177,8 +177,19 @@ def word_counts(documents: DataFrame, ranks_file: str) -> DataFrame:
 
 
 def compile_lexicon(documents: DataFrame, ranks_file: str, words: int = LEXICON_WORDS, min_count: int = LEXICON_MIN_COUNT) -> Lexicon:
-    """The transducer of the most frequent words; at most ``words`` rows come to the driver."""
-    top = word_counts(documents, ranks_file).where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(words).collect()
+    """The transducer of the most frequent words. A histogram of counts (a few hundred rows) gives the
+    count from which there are at most ``words`` words, so only those come to the driver."""
+    counts = word_counts(documents, ranks_file).where(F.col("n") >= min_count)
+    counts = materialise(counts, "words")
+    step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16).cast("long") + 64)
+    bars = counts.groupBy(step.alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("words")).collect()
+    total, least = 0, None
+    for r in sorted(bars, key=lambda r: -r["step"]):
+        total += r["words"]
+        if total > words:
+            break
+        least = r["least"]
+    top = counts.where(F.col("n") >= least).collect() if least is not None else []
     merge = merger(ranks_file).merge
     return Lexicon.build({r["word"].encode(): list(merge(r["word"])) for r in top})
 

@@ -93,7 +93,7 @@ class RadixAggregator:
         yield from self.db.sql(query).to_arrow_reader(100_000)
 
     def _split(self, source: str, level: int, by: str) -> Iterator[pa.RecordBatch]:
-        n, terms = self.db.execute(f"select count(*), approx_count_distinct(term) from {source}").fetchone()
+        n, terms = self.db.execute(f"select count(*), approx_count_distinct(term) from {source}").fetchall()[0]
         if n <= self.limit or level * FANOUT_BITS >= 60:
             if n:
                 yield from self._aggregate(source)

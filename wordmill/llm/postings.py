@@ -8,22 +8,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text made of these characters only is in composed form already (all are below the first
-#: combining mark, or Cyrillic letters without a decomposition that is left).
-COMPOSED = "[^\\u0000-\\u02ff\\u0400-\\u0481\\u048a-\\u052f]"
-_BLANK = "[\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
+def normal_spelling(term: str) -> str:
+    """Composed (NFC), trimmed, lower case, ``е`` for ``ё``."""
+    return unicodedata.normalize("NFC", term).strip().lower().replace("ё", "е")
 
-def _composed(batches):
-    for b in batches:
-        k = b.schema.get_field_index("term")
-        terms = pa.array([unicodedata.normalize("NFC", t) for t in b.column(k).to_pylist()], pa.string())
-        yield b.set_column(k, "term", terms)
 
+class Spellings:
+    """Normal spellings of columns of terms, worked out once for each distinct spelling."""
+
+    def __init__(self, limit: int = 500_000):
+        self.known: dict[str, str] = {}
+        self.limit = limit
 
-def normal_term(term):
-    """Lower case, ``е`` for ``ё``, trimmed; the term must be composed (NFC)."""
-    return F.translate(F.lower(F.regexp_replace(term, f"^{_BLANK}+|{_BLANK}+$", "")), "ё", "е")
+    def __call__(self, terms: pa.Array) -> pa.Array:
+        coded = terms.dictionary_encode() if not isinstance(terms, pa.DictionaryArray) else terms
+        known, out = self.known, []
+        for t in coded.dictionary.to_pylist():
+            n = known.get(t)
+            if n is None:
+                if len(known) > self.limit:  # forgets, so memory stays bounded; only costs time
+                    known.clear()
+                n = known[t] = normal_spelling(t)
+            out.append(n)
+        return pa.DictionaryArray.from_arrays(coded.indices, pa.array(out, pa.string())).cast(pa.string())
 
 
 def countable(postings: DataFrame) -> DataFrame:
@@ -34,17 +42,15 @@ def countable(postings: DataFrame) -> DataFrame:
     )
 
 
+def _spell(batches):
+    spelled = Spellings()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([spelled(b.column(0)), b.column(1), b.column(2)], ["term", "doc_id", "tf"])
+
+
 def counted(postings: DataFrame) -> DataFrame:
     """(term, doc_id, tf): one row for each normal term and document, ``tf`` added up.
 
-    Rows whose term holds characters that may need composing go through Python, all others stay in the JVM."""
-    rows = countable(postings)
-    plain = rows.where(~F.col("term").rlike(COMPOSED))
-    rest = rows.where(F.col("term").rlike(COMPOSED)).mapInArrow(_composed, rows.schema)
-    return (
-        plain.unionByName(rest)
-        .select(normal_term(F.col("term")).alias("term"), "doc_id", "tf")
-        .where("term <> ''")
-        .groupBy("term", "doc_id")
-        .agg(F.sum("tf").alias("tf"))
-    )
+    Spellings repeat, so Arrow batches are dictionary-encoded and only distinct ones are worked on."""
+    rows = countable(postings).mapInArrow(_spell, "term string, doc_id long, tf long")
+    return rows.where("term <> ''").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))

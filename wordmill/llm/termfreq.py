@@ -15,25 +15,20 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.postings import countable
-from wordmill.session import local_path, scratch, shared_dir
+from wordmill.llm.postings import Spellings, countable
+from wordmill.session import local_path, materialise, scratch, shared_dir
 
 FANOUT_BITS = 3
 #: Rows that one aggregation of DuckDB takes in; a larger partition is split further.
 PARTITION_ROWS = 4_000_000
 
 
-def normal_spelling(term: str) -> str:
-    return unicodedata.normalize("NFC", term).strip().lower().replace("ё", "е")
-
-
 class RadixAggregator:
     """Adds batches of (term, doc_id, tf), spills them by hash bits, yields (term, occurrences, documents)."""
 
@@ -46,29 +41,15 @@ class RadixAggregator:
         self.db.execute(f"set memory_limit='{memory}'")
         self.db.execute(f"set temp_directory='{folder}/duckdb'")
         self.db.execute("set preserve_insertion_order=false")
-        self.normal: dict[str, str] = {}
+        self.spelled = Spellings()
         self.held: list[pa.RecordBatch] = []
         self.held_rows = 0
         self.files: list[str] = []
         self.rows = 0
 
-    def _normal(self, terms: pa.Array) -> pa.Array:
-        """Spellings are worked out once for each distinct one of a batch."""
-        coded = terms.dictionary_encode() if not isinstance(terms, pa.DictionaryArray) else terms
-        known = self.normal
-        out = []
-        for t in coded.dictionary.to_pylist():
-            n = known.get(t)
-            if n is None:
-                if len(known) > 500_000:  # forgets, so memory stays bounded; only costs time
-                    known.clear()
-                n = known[t] = normal_spelling(t)
-            out.append(n)
-        return pa.DictionaryArray.from_arrays(coded.indices, pa.array(out, pa.string())).cast(pa.string())
-
     def add(self, batch: pa.RecordBatch) -> None:
         if batch.num_rows:
-            self.held.append(pa.RecordBatch.from_arrays([self._normal(batch.column(0)), batch.column(1), batch.column(2)], ["term", "doc_id", "tf"]))
+            self.held.append(pa.RecordBatch.from_arrays([self.spelled(batch.column(0)), batch.column(1), batch.column(2)], ["term", "doc_id", "tf"]))
             self.held_rows += batch.num_rows
             self.rows += batch.num_rows
             if self.held_rows >= self.limit:
@@ -166,8 +147,6 @@ def term_frequencies(postings: DataFrame, rare_below: int = 3, common_share: flo
     folder = local_path(scratch(spark, "radix")) if local_path(shared_dir(spark)) else None
     parts = countable(postings).repartition("doc_id").mapInArrow(_radix_task(folder, partition_rows), "term string, occurrences long, documents long")
     sums = parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
-    from wordmill.session import materialise
-
     sums = materialise(sums, "termfreq")
     total = sums.where("term is null").agg(F.sum("documents")).first()[0] or 0
     mark = F.when(F.col("documents") < rare_below, "rare").when(F.col("documents") >= common_share * total, "common")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -70,7 +71,11 @@ def index_words(text: Column, keep_numbers: bool = False, yo_to_e: bool = True,
 
 
 def stem(token: Column) -> Column:
-    return F.regexp_replace(token, STEM_PATTERN, "$1")
+    """Of seven characters or more enough always stays, so only the last four are looked at."""
+    ending = "(?:" + "|".join(dict.fromkeys(SUFFIXES)) + ")$"
+    head = F.char_length(token) - 4
+    short = F.concat(F.substring(token, F.lit(1), head), F.regexp_replace(F.substring(token, -4, 4), ending, ""))
+    return F.when(F.char_length(token) >= 7, short).otherwise(F.regexp_replace(token, STEM_PATTERN, "$1"))
 
 
 def cap(token: Column) -> Column:
@@ -114,6 +119,17 @@ def log_series(x: Column) -> Column:
     return F.when(x > 1, k * 0.693147 + series).otherwise(F.lit(0.0))
 
 
+def log_number(x: float, mode: str = "reference") -> float:
+    """``log_of`` for one number on the driver."""
+    if x <= 1:
+        return 0.0
+    if mode != "reference":
+        return math.log(x)
+    k = max(0, math.ceil(math.log2(x)) - 1)
+    y = x / 2.0**k - 1
+    return k * 0.693147 + sum(y**n / n for n in range(1, 50, 2) if y**n > 1e-10)
+
+
 def log_of(x: Column, mode: str = "reference") -> Column:
     """``reference`` for the series above, ``ln`` for the natural logarithm (0 for x <= 1)."""
     if mode == "reference":

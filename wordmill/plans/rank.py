@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.functions.text import log_of
+from wordmill.functions.text import log_number, log_of
 from wordmill.operators.index import Index
 from wordmill.plans.query import Plan, boolean_search, is_boolean, page
 
@@ -25,11 +25,11 @@ def scores(index: Index, query: str, yo_to_e: bool = True) -> DataFrame:
     times = Counter(plan.words)
     lists = index.postings.where(F.col("term").isin(plan.terms))
     df = {r["term"]: r["df"] for r in lists.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
-    weight = F.lit(0.0)
+    factor = F.lit(0.0)
     for term, n in times.items():
         if term in df:
-            idf = log_of(F.lit(index.n_docs / df[term]), index.log_mode)
-            weight = F.when(F.col("term") == term, (1 + log_of(F.col("tf").cast("double"), index.log_mode)) * idf * n).otherwise(weight)
+            factor = F.when(F.col("term") == term, log_number(index.n_docs / df[term], index.log_mode) * n).otherwise(factor)
+    weight = (1 + log_of(F.col("tf").cast("double"), index.log_mode)) * factor
     flags = [F.max(F.col("term") == t).alias(f"f{k}") for k, t in enumerate(plan.terms)]
     hits = lists.groupBy("doc_id").agg(F.sum(weight).alias("total"), *flags)
     # A document without any of the terms has no weight, so the universe isn't needed.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as T
+from wordmill.session import materialise, spread
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ def tokens(documents: DataFrame, options: IndexOptions = DEFAULT) -> DataFrame:
 
     Characters are counted before stemming, bytes after, as the query language's index does."""
     words = T.index_words(F.col("text"), options.keep_numbers, options.yo_to_e, options.min_len)
-    rows = corpus(documents, options).select("doc_id", F.explode(words).alias("word"))
+    rows = spread(corpus(documents, options).select("doc_id", "text")).select("doc_id", F.explode(words).alias("word"))
     return (
         rows.select("doc_id", T.stem(T.cap(F.col("word"))).alias("term"), F.char_length("word").alias("chars"))
         .where(F.octet_length("term") >= options.min_len)
@@ -81,7 +82,9 @@ def documents_table(documents: DataFrame, postings: DataFrame, options: IndexOpt
 def write_index(documents: DataFrame, path: str, options: IndexOptions = DEFAULT) -> None:
     """Postings sorted by term (row groups are skipped by term), dictionary and documents as Parquet."""
     spark = documents.sparkSession
-    postings(documents, options).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    # Finding the ranges reads the rows once more: from a table, not from the texts.
+    posted = materialise(postings(documents, options), "postings")
+    posted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     posted = spark.read.parquet(f"{path}/postings")
     docs = documents_table(documents, posted, options)
     docs.write.mode("overwrite").parquet(f"{path}/docs")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as T
+from wordmill.session import materialise, spread
 
 
 def corpus_tokens(documents: DataFrame, keep_numbers: bool = True, yo_to_e: bool = True, min_len: int = 2, limit_docs: int = -1, max_file_bytes: int = 0) -> DataFrame:
@@ -15,7 +16,7 @@ def corpus_tokens(documents: DataFrame, keep_numbers: bool = True, yo_to_e: bool
         docs = docs.where(F.octet_length("text") <= max_file_bytes)
     if limit_docs >= 0:
         docs = docs.orderBy("doc_id").limit(limit_docs)
-    return docs.select("doc_id", F.explode(T.corpus_words(F.col("text"), keep_numbers, yo_to_e, min_len)).alias("term"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.explode(T.corpus_words(F.col("text"), keep_numbers, yo_to_e, min_len)).alias("term"))
 
 
 def term_freq(tokens: DataFrame) -> DataFrame:
@@ -31,8 +32,6 @@ def ranked_terms(freqs: DataFrame) -> DataFrame:
     w = Window.partitionBy("part").orderBy(F.desc("freq"), "term")
     ranged = freqs.repartitionByRange(F.desc("freq"), F.asc("term")).withColumn("part", F.spark_partition_id())
     # The partition of a row must not be worked out twice, so the ranges are written first.
-    from wordmill.session import materialise
-
     ranged = materialise(ranged, "ranges")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))

@@ -13,7 +13,7 @@ from wordmill.operators import bench, codec, corpus, index, lexstats, rules
 from wordmill.plans import query, rank
 from wordmill.sources import tables
 from wordmill.streaming import frontier as fr
-from wordmill.session import table
+from wordmill.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -346,17 +346,17 @@ def _(spark, d):
 
 @registered("page_text")
 def _(spark, d):
-    return table(spark, d, "robot_pages").select("page_id", U.html_text(F.col("raw_html")).alias("text"))
+    return spread(table(spark, d, "robot_pages").select("page_id", "raw_html")).select("page_id", U.html_text(F.col("raw_html")).alias("text"))
 
 
 @registered("page_text_lines")
 def _(spark, d):
-    return table(spark, d, "robot_pages").select("page_id", U.html_text(F.col("raw_html"), collapse=False).alias("text"))
+    return spread(table(spark, d, "robot_pages").select("page_id", "raw_html")).select("page_id", U.html_text(F.col("raw_html"), collapse=False).alias("text"))
 
 
 @registered("page_links", "select page_id, regexp_extract(url, '^[^:]+://[^/?#]*') || href link from (select page_id, url, unnest(regexp_extract_all(regexp_replace(raw_html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<[aA] [^>]*?href=\"([^\"]*)\"', 1)) href from robot_pages) where href <> '' and not regexp_matches(href, '^(?:mailto:|tel:|javascript:)')")
 def _(spark, d):
-    return table(spark, d, "robot_pages").select("page_id", F.explode(U.html_links(F.col("raw_html"), F.col("url"))).alias("link"))
+    return spread(table(spark, d, "robot_pages").select("page_id", "raw_html", "url")).select("page_id", F.explode(U.html_links(F.col("raw_html"), F.col("url"))).alias("link"))
 
 
 @registered("fetched_pages", "select page_id from robot_pages where lower(trim(split_part(content_type, ';', 1))) = 'text/html' and bytes_len <= 50000")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -48,6 +49,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+_MOVES = re.compile("Join|Aggregate|Window|Exchange|Repartition|Sort|Limit|InMemory|Stream")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, where it is a scan of fewer splits (a few small
+    files): costly work on its rows would leave cores idle. Scans of enough splits stay as they are."""
+    plan = df._jdf.queryExecution()
+    if df.isStreaming or _MOVES.search(plan.optimizedPlan().toString()):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once for each application: they need not have it installed."""
     app = spark.sparkContext.applicationId

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wordmill.llm.chunks import ChunkMemo
 from wordmill.llm.lexicon import Lexicon
-from wordmill.session import local_path, materialise, scratch, shared_dir
+from wordmill.session import local_path, materialise, scratch, shared_dir, spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the pre-tokenizer pattern of the byte-level vocabularies.
@@ -172,7 +172,7 @@ def word_counts(documents: DataFrame, ranks_file: str) -> DataFrame:
                     words[w] = words.get(w, 0) + n
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
-    chunks = documents.select("text").mapInArrow(_count_chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    chunks = spread(documents.select("text")).mapInArrow(_count_chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     return chunks.mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -246,7 +246,7 @@ def encode_corpus(documents: DataFrame, vocabulary: str = "byte_bpe_50k", tokeni
                     lists = pa.ListArray.from_arrays(pa.array((o - o[0]).astype(np.int32)), pa.array(ids[o[0] : o[-1]]))
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(at, to - at), lists], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, vocabulary: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
@@ -261,4 +261,4 @@ def token_counts(documents: DataFrame, vocabulary: str = "byte_bpe_50k", tokeniz
                 part = b.slice(lo, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(enc.count(part.column(1).to_pylist()), pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")

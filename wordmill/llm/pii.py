@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.session import materialise
+from wordmill.session import materialise, spread
 
 ROUNDS = 3
 TRUST, SUPPORT = 0.6, 3
@@ -317,7 +317,7 @@ def personal_items(documents: DataFrame, rounds: int = ROUNDS, trust: float = TR
 
     The rounds work on the table of patterns, instances and counts, which pre-aggregation keeps
     small; only the last step goes back to the candidates."""
-    found = documents.select("doc_id", "text").where("text is not null").mapInArrow(_scan_task, _CANDIDATE)
+    found = spread(documents.select("doc_id", "text").where("text is not null")).mapInArrow(_scan_task, _CANDIDATE)
     found = materialise(found, "candidates")
     # Nodes: contexts on either side, and instances. An edge is a group of candidates alike in all.
     nodes = ("two", "one", "after", "form")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from wordmill.llm.chunks import ChunkMemo
 from wordmill.llm.sitelines import repeated_lines
+from wordmill.session import spread
 
 #: Layout of a chunk's measures.
 CHARS = ("vowel_ru", "consonant_ru", "vowel_en", "consonant_en", "letter_other", "digit", "stop", "comma", "mark", "symbol")
@@ -157,7 +158,7 @@ def _profile_task(common: frozenset[str]):
 
 def prose_profiles(documents: DataFrame, common: frozenset[str]) -> np.ndarray:
     """The summed measures of all lines that end like sentences, for each script; two rows come to the driver."""
-    parts = documents.select("text").where("text is not null").mapInArrow(_profile_task(common), "script int, sums array<double>")
+    parts = spread(documents.select("text").where("text is not null")).mapInArrow(_profile_task(common), "script int, sums array<double>")
     total = parts.select("script", F.posexplode("sums").alias("k", "v")).groupBy("script", "k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros((2, WIDTH))
     for r in total:
@@ -302,5 +303,5 @@ def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     common = frozenset(r[0].lower().replace("ё", "е") for r in common_words.select("word").where("word is not null").collect())
     profiles = prose_profiles(documents, common)
     drop = repeated_lines(documents).groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
-    joined = documents.select("doc_id", "text").join(drop, "doc_id", "left").select("doc_id", "text", "drop")
+    joined = spread(documents.select("doc_id", "text")).join(drop, "doc_id", "left").select("doc_id", "text", "drop")
     return joined.mapInArrow(_judge_task(common, profiles), _SCHEMA)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from wordmill.llm.article import article_blocks, aside, container_of, headline, is_meta, is_prompt, owner
 from wordmill.llm.html import Block, blocks_of, title_of
+from wordmill.session import spread
 
 MESSAGE_SHARE, SENTENCE_SHARE = 0.5, 0.7
 
@@ -192,7 +193,7 @@ def _run(batches):
 
 def residue_pages(pages: DataFrame) -> DataFrame:
     """(page_id, kind) of the pages that hold a message or filler in place of, or amid, an article."""
-    return pages.select("page_id", "raw_html").where("raw_html is not null").mapInArrow(_run, "page_id long, kind string")
+    return spread(pages.select("page_id", "raw_html").where("raw_html is not null")).mapInArrow(_run, "page_id long, kind string")
 
 
 def without_residue(pages: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.session import materialise
+from wordmill.session import materialise, spread
 
 _DIGITS = re.compile(r"\d+")
 
@@ -62,7 +62,7 @@ def hashed_lines(documents: DataFrame) -> DataFrame:
     between ``\\n``. Done in Arrow batches: string methods take a fifth of the time that chained
     regular expressions of the JVM do on these texts."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").where("text is not null")
-    return rows.mapInArrow(_hash_task, "doc_id long, source string, line_no int, h1 long, h2 long")
+    return spread(rows).mapInArrow(_hash_task, "doc_id long, source string, line_no int, h1 long, h2 long")
 
 
 def frequent_lines(documents: DataFrame, min_docs: int = 5, min_share: float = 0.05, lines: DataFrame | None = None) -> DataFrame:

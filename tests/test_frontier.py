@@ -83,3 +83,15 @@ def test_outcomes(spark, sources):
     r = {x.url_norm.rsplit("/", 1)[1] or "b": (x.next_at, x.error, x.save) for x in fr.outcomes(leased, got, sources, RobotConfig(), 0).collect()}
     assert r == {"n": (86400, None, True), "m": (None, None, False), "deep": (None, None, False), "b": (None, None, False), "lost": (600, "fetch_failed", False)}
     assert fr.one_per_url(fr.empty(spark)).count() == 0
+
+
+def test_whole_frontier_queries(spark, tmp_path):
+    from wordmill.plans.queries import QUERIES
+
+    rows = [("x", "u", "s", 1, "pending", 5, 2), ("x", "u", "s", 1, "in_progress", 5, 1), ("y", "u", "s", 1, "pending", 5, 1), ("y", "u", "s", 1, "pending", 4, 1), ("z", "u", "s", 1, "done", 5, 1)]
+    frontier = spark.createDataFrame([(*r, None, None, None, None) for r in rows], fr.SCHEMA)
+    frontier.write.parquet(f"{tmp_path}/frontier.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r.url_norm, r.next_fetch_at) for r in run("frontier_due_whole")] == [("y", 4)]
+    assert sorted((r.url_norm, r.status) for r in run("frontier_lease_whole")) == [("x", "in_progress"), ("y", "in_progress"), ("z", "done")]
+    assert sorted((r.url_norm, r.status, r.last_error) for r in run("frontier_finish_whole")) == [("x", "pending", "fetch_failed"), ("y", "pending", None), ("z", "done", None)]

@@ -411,14 +411,37 @@ def _(spark, d):
 _FINISH = "select url_norm, case when h and nx is not null then 'pending' when h then 'done' else status end status, case when h and nx is not null then nx else next_fetch_at end next_fetch_at, case when h then {now} else updated_at end updated_at, case when h then er else last_error end last_error, case when not h then started_at end started_at from (select *, status = 'in_progress' h, case when depth % 3 = 0 then null else {now} + 600 end nx, case when depth % 3 = 1 then 'fetch_failed' end er from f)"
 
 
+def _results(rows: DataFrame) -> DataFrame:
+    return rows.where("status = 'in_progress'").select(
+        "url_norm", F.lit(_NOW).alias("now"), F.when(F.col("depth") % 3 != 0, F.lit(_NOW + 600)).alias("next_at"), F.when(F.col("depth") % 3 == 1, "fetch_failed").alias("error")
+    )
+
+
 @registered("frontier_finish", "with f as (select * from frontier where url_norm in (select url_norm from frontier group by 1 having count(*) = 1)) " + _FINISH.format(now=_NOW))
 def _(spark, d):
     once = table(spark, d, "frontier").groupBy("url_norm").agg(F.count("*").alias("k")).where("k = 1").select("url_norm")
     rows = table(spark, d, "frontier").join(once, "url_norm", "left_semi")
-    results = rows.where("status = 'in_progress'").select(
-        "url_norm", F.lit(_NOW).alias("now"), F.when(F.col("depth") % 3 != 0, F.lit(_NOW + 600)).alias("next_at"), F.when(F.col("depth") % 3 == 1, "fetch_failed").alias("error")
-    )
-    return fr.finish(rows, results).select("url_norm", "status", "next_fetch_at", "updated_at", "last_error", "started_at")
+    return fr.finish(rows, _results(rows)).select("url_norm", "status", "next_fetch_at", "updated_at", "last_error", "started_at")
+
+
+# The three above leave out URLs with repeated rows, as their SQL says; these have every URL, with the row that ``one_per_url`` keeps.
+_WHOLE = "with f as (select * exclude (k) from (select *, row_number() over (partition by url_norm order by added_at nulls first, next_fetch_at nulls first, " + ", ".join(f"{c} nulls first" for c in fr.COLUMNS if c not in ("url_norm", "added_at", "next_fetch_at")) + ") k from frontier) where k = 1)"
+_DUE = f"select url_norm, next_fetch_at from f where status = 'pending' and next_fetch_at <= {_NOW} order by next_fetch_at, added_at, url_norm limit 100"
+
+
+@registered("frontier_due_whole", f"{_WHOLE} {_DUE}")
+def _(spark, d):
+    return fr.due(_frontier(spark, d), _NOW, 100).select("url_norm", "next_fetch_at")
+
+
+@registered("frontier_lease_whole", f"{_WHOLE}, t as (select url_norm from ({_DUE})) select url_norm, case when url_norm in (from t) then 'in_progress' else status end status, case when url_norm in (from t) then {_NOW} else started_at end started_at, case when url_norm in (from t) then {_NOW + 120} else lease_until end lease_until from f")
+def _(spark, d):
+    return fr.lease(_frontier(spark, d), _NOW, 120, 100).select("url_norm", "status", "started_at", "lease_until")
+
+
+@registered("frontier_finish_whole", f"{_WHOLE} " + _FINISH.format(now=_NOW))
+def _(spark, d):
+    return fr.finish(_frontier(spark, d), _results(_frontier(spark, d))).select("url_norm", "status", "next_fetch_at", "updated_at", "last_error", "started_at")
 
 
 @registered(

@@ -90,3 +90,9 @@ def test_residue_pages(spark):
     assert {r.page_id for r in residue.residue_pages(pages).collect()} == {1}
     assert sorted(r.page_id for r in residue.without_residue(pages).collect()) == [2, 3]
     assert residue.residue_pages(pages.where("false")).count() == 0
+
+
+def test_prompt_to_share_ends_nothing_that_goes_on(spark):
+    html = layout("Школа открыла парк", "<div>Поделиться</div><p>Первый абзац текста.</p><ul><li>отправить копию паспорта</li><li>прийти в школу;</li></ul><p>Город {region_name} рад.</p>")
+    assert found(spark, [(1, "https://a.example/n/1", html)])[1] == {"Школа открыла парк", "Первый абзац текста.", "прийти в школу;", "Город {region_name} рад."}
+    assert residue.page_kind(blocks_of(html), title_of(html)) == "residue"

@@ -91,12 +91,29 @@ def container_of(blocks: list[Block], head: int | None, shared: list[bool] | Non
     return max(sums, key=lambda c: (sums[c], -c), default=0)
 
 
-def article_blocks(blocks: list[Block], head: int | None, container: int) -> list[int]:
-    """Blocks of the container from the headline to the prompt to share, without captions, meta lines, links and prompts."""
+def _prose(b: Block) -> bool:
+    return b.link_share < LINK_SHARE and ends_sentence(b.text) and not is_prompt(b.text) and not is_meta(b.text) and not aside(b)
+
+
+def article_blocks(blocks: list[Block], head: int | None, container: int, shared: list[bool] | None = None) -> list[int]:
+    """Blocks of the container from the headline on, without captions, meta lines, links and prompts.
+
+    A prompt to share ends the article if no unshared prose of the container follows it. Right in
+    the body, where the site's own lines stand too, prose behind another element doesn't count
+    unless neighbours tell whether it is shared."""
+    first = head if head is not None else 0
+    last = -1
+    for k in range(first, len(blocks)):
+        b = blocks[k]
+        if not within(b, container):
+            if last >= 0 and not shared and b.ids and container in b.ids and b.path[b.ids.index(container)] in ("body", "html"):
+                break
+        elif k == head or (_prose(b) and not (shared and shared[k])):
+            last = k
     out = []
-    for k in range(head if head is not None else 0, len(blocks)):
+    for k in range(first, len(blocks)):
         b = blocks[k]
-        if k != head and is_prompt(b.text) and _SHARE.match(b.text) and (out or head is not None) and (within(b, container) or b.ids and container in b.ids):
+        if k > last and k != head and is_prompt(b.text) and _SHARE.match(b.text) and (out or head is not None) and (within(b, container) or b.ids and container in b.ids):
             break
         if within(b, container) and not aside(b) and b.link_share < LINK_SHARE and (k == head or not (is_meta(b.text) or is_prompt(b.text))):
             out.append(k)

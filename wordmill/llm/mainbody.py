@@ -85,7 +85,7 @@ def main_body(page: Page, neighbours: list[Page]) -> list[str]:
         again = headline([blocks[k] for k in rest], page.title)
         head = rest[again] if again is not None else None
     container = container_of(blocks, head, shared)
-    body = article_blocks(blocks, head, container)
+    body = article_blocks(blocks, head, container, shared if neighbours else None)
     kept = [k for k in body if k == head or not shared[k] or (ends_sentence(blocks[k].text) and not is_prompt(blocks[k].text) and blocks[k].link_share < LINK_SHARE)]
     return [blocks[k].text for k in kept]
 

@@ -126,3 +126,16 @@ def test_positions_are_code_points(spark):
     text = "😀😀 a@b.example"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert pii.personal_items(docs).first().start_pos == 3
+
+
+def test_numbers_next_to_each_other():
+    want = {
+        "23-45-67\n34-56-78\n45-67-89": ["23-45-67", "34-56-78", "45-67-89"],
+        "Приём с 12.05.2023\n8 (343) 212-34-56 каждый день": ["8 (343) 212-34-56"],
+        "Телефоны 23-45-67 34-56-78, ждём": ["23-45-67", "34-56-78"],
+        "Телефоны 8 (343) 212-34-56. 8 (343) 212-34-57, ждём": ["8 (343) 212-34-56", "8 (343) 212-34-57"],
+        "413.42  369.174  7.758  209.4954  820.42  291.51": [],
+        "СНИЛС 231-027-112-94 +7 946 689-62-15, архив": ["231-027-112-94", "+7 946 689-62-15"],
+    }
+    for text, numbers in want.items():
+        assert [text[s:e] for _, s, e, _, _ in pii._numbers(text)] == numbers, text

@@ -39,7 +39,10 @@ _DOT = r"(?:\s?\.\s?|\s?[(\[{<]\s?(?:dot|точка|тчк)\s?[)\]}>]\s?|\s(?:do
 _EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)({_AT})([A-Za-z0-9][A-Za-z0-9-]*(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*(?:\.|{_DOT})[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I)
 _EMAIL_HINT = re.compile(r"[@＠]|собак|собач|[(\[{<]\s?(?:at|а|dog)\s?[)\]}>]|\bat\b.{1,40}(?:\bdot\b|\.\w\w)", re.I)
 
-_NUMBER = re.compile(r"(?<![\w.,:/№-])(?:\+\s?|\()?\d[\d\s().–—‑-]*(?:(?:\s?№\s?|,\s?номер\s|\sномер\s)\d{6}|\d)(?![\w/]|[:,.]\d|-\w)")
+#: Stays on its line.
+_NUMBER = re.compile(r"(?<![\w.,:/№-])(?:\+[^\S\n]?|\()?\d(?:[\d().–—‑-]|[^\S\n])*(?:(?:[^\S\n]?№[^\S\n]?|,[^\S\n]?номер[^\S\n]|[^\S\n]номер[^\S\n])\d{6}|\d)(?![\w/]|[:,.]\d|-\w)")
+_GROUP = re.compile(r"\S+")
+_DECIMAL = re.compile(r"\d+\.\d+")
 _SEP = r"[\s.–—‑-]*"
 _PHONE_FULL = re.compile(rf"(?:\+\s?7|[78])(?:{_SEP}\(?\d{{3,5}}\)?{_SEP}\d{{1,3}}{_SEP}\d{{2}}{_SEP}\d{{2}})")
 _PHONE_CODE = re.compile(rf"\(\d{{3,5}}\){_SEP}\d{{1,3}}{_SEP}\d{{2}}{_SEP}\d{{2}}")
@@ -141,20 +144,43 @@ def _number_kind(raw: str, before: str) -> tuple[str, bool] | None:
     return None
 
 
+def _number_at(text: str, start: int, raw: str):
+    """(kind, start, end, form, seed) of one number, None without a kind."""
+    found = _number_kind(raw, text[max(0, start - 50) : start])
+    if not found and raw.startswith("("):
+        # The bracket belongs to the sentence, not to the number.
+        inner = raw[1:].lstrip()
+        start += len(raw) - len(inner)
+        raw = _trim_number(inner)
+        found = _number_kind(raw, text[max(0, start - 50) : start - 1].rstrip("( "))
+    return (found[0], start, start + len(raw), re.sub(r"\d", "0", raw), found[1]) if found else None
+
+
 def _numbers(text: str):
     """(kind, start, end, form, seed)"""
     for m in _NUMBER.finditer(text):
-        start = m.start()
-        raw = _trim_number(m.group().split("\n")[0])
-        found = _number_kind(raw, text[max(0, start - 50) : start])
-        if not found and raw.startswith("("):
-            # The bracket belongs to the sentence, not to the number.
-            inner = raw[1:].lstrip()
-            start += len(raw) - len(inner)
-            raw = _trim_number(inner)
-            found = _number_kind(raw, text[max(0, start - 50) : start - 1].rstrip("( "))
-        if found:
-            yield found[0], start, start + len(raw), re.sub(r"\d", "0", raw), found[1]
+        whole = _number_at(text, m.start(), _trim_number(m.group()))
+        if whole:
+            yield whole
+            continue
+        # Several numbers parted by blanks: from each group on, the longest run that has a kind.
+        groups = [(g.start(), g.end(), sum(ch.isdigit() for ch in g.group())) for g in _GROUP.finditer(text, m.start(), m.end())]
+        i = 0
+        while i < len(groups) and len(groups) > 1:
+            n, j = 0, i
+            while j < len(groups) and n + groups[j][2] <= 15:
+                n += groups[j][2]
+                j += 1
+            found = None
+            while groups[i][2] and j > i and not found:
+                j -= 1
+                parts = text[groups[i][0] : groups[j][1]].split()
+                if len(parts) > 1 and any(_DECIMAL.fullmatch(x) for x in parts):  # a row of figures
+                    continue
+                found = _number_at(text, groups[i][0], _trim_number(text[groups[i][0] : groups[j][1]]))
+            if found:
+                yield found
+            i = j + 1 if found else i + 1
 
 
 _kinds: dict[str, int] = {}

@@ -96,3 +96,18 @@ def test_prompt_to_share_ends_nothing_that_goes_on(spark):
     html = layout("Школа открыла парк", "<div>Поделиться</div><p>Первый абзац текста.</p><ul><li>отправить копию паспорта</li><li>прийти в школу;</li></ul><p>Город {region_name} рад.</p>")
     assert found(spark, [(1, "https://a.example/n/1", html)])[1] == {"Школа открыла парк", "Первый абзац текста.", "прийти в школу;", "Город {region_name} рад."}
     assert residue.page_kind(blocks_of(html), title_of(html)) == "residue"
+
+
+@pytest.mark.parametrize("held", [1000, 2])
+def test_neighbours_behind_many_copies(held, monkeypatch):
+    monkeypatch.setattr(mainbody, "HELD", held)
+    one, two, three = (layout(t, f"<div>Строка сайта.</div><div>{m}</div><p>{t} сегодня.</p>") for t, m in (("Школа открыла парк", "левая"), ("Мост закрыт", "левая"), ("Театр ждёт", "правая")))
+    copies = [mainbody.Page(10 + k, "a", "/2", two if k % 2 else layout("Мост закрыт", f"<div>левая</div><div>правая</div><p>Номер {k}.</p>")) for k in range(20)]
+    html = {p.id: (two if p.id % 2 else layout("Мост закрыт", f"<div>левая</div><div>правая</div><p>Номер {p.id - 10}.</p>")) for p in copies}
+    stream, got = mainbody.Stream(), {}
+    for p, h in [(mainbody.Page(1, "a", "/1", one), one), *((p, html[p.id]) for p in copies), (mainbody.Page(30, "a", "/25", ""), ""), (mainbody.Page(40, "a", "/3", three), three)]:
+        got.update(stream.add(p, h))
+    got.update(stream._end_host())
+    assert set(got) == {1, 40, *range(10, 30)}
+    for p in copies:
+        assert ("левая" in got[p.id], "правая" in got[p.id]) == (False, False)

@@ -8,7 +8,8 @@ the headline, without meta lines, captions, blocks of links and prompts; a formu
 two articles share is given back to the article it stands in.
 
 The order is a range partitioning by (host, path): a hot host is spread over as many tasks as its
-size asks for. At the edge of a range a page has neighbours on one side only.
+size asks for; the pages of one path stay in one task. At the edge of a range a page has neighbours
+on one side only, and a path that fills a range has none.
 
 Defined results: null, empty and blank pages and those that hold only a message, filler or an
 unfilled template have no rows; pages of the same URL or headline aren't neighbours of each other;
@@ -18,8 +19,10 @@ equal blocks of a page give one row; a null URL sorts as empty; extra columns ar
 from __future__ import annotations
 
 import hashlib
+import pickle
+import tempfile
 from bisect import bisect_left
-from collections import deque
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +32,8 @@ from wordmill.llm.article import LINK_SHARE, article_blocks, container_of, ends_
 from wordmill.llm.html import Block, blocks_of, title_of
 from wordmill.llm.residue import page_kind
 
-#: How far a neighbour may stand when nearer ones are copies of the page.
-REACH = 4
+#: Contents of one path that wait in memory for a neighbour.
+HELD = 1000
 
 
 def common_lines(a: list[str], b: list[str]) -> list[int]:
@@ -60,13 +63,14 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
 
 
 class Page:
-    __slots__ = ("id", "host", "url", "title", "blocks", "lines")
+    __slots__ = ("id", "host", "url", "title", "blocks", "lines", "content")
 
     def __init__(self, page_id: int, host: str, url: str, html: str | None):
         self.id, self.host, self.url = page_id, host, url
         self.blocks = blocks_of(html) if html else []
         self.title = title_of(html) if html else ""
         self.lines = [b.text for b in self.blocks]
+        self.content = hashlib.md5("\n".join([self.title, *self.lines]).encode("utf-8", "surrogatepass")).digest()
 
 
 def main_body(page: Page, neighbours: list[Page]) -> list[str]:
@@ -90,29 +94,87 @@ def main_body(page: Page, neighbours: list[Page]) -> list[str]:
     return [blocks[k].text for k in kept]
 
 
-def _neighbours(pages: deque, at: int) -> list[Page]:
-    page, out = pages[at], []
-    for step in (-1, 1):
-        k, seen = at + step, 0
-        while 0 <= k < len(pages) and seen < REACH:
-            n = pages[k]
-            if n.host != page.host:
+class Stream:
+    """Pages in order of (host, path), each given out with its neighbours: on either side the nearest
+    page of the host with another path, with blocks and of other content, however far it stands.
+
+    To the left the last page and the last of other content than that one are enough. To the right
+    a page waits for its neighbour, copies of one path waiting as one; of many contents of one path
+    those above ``HELD`` wait in a file."""
+
+    def __init__(self):
+        self.at: tuple[str, str] | None = None
+        self.left: tuple[Page | None, Page | None] = (None, None)  # before the path whose turn it is
+        self.last: tuple[Page | None, Page | None] = (None, None)
+        self.older: dict[tuple, tuple] = {}
+        self.own: dict[tuple, tuple] = {}  # (content, left neighbour) to (page, left neighbour, ids)
+        self.file = None
+
+    def _wait(self, page: Page, waiting: dict) -> None:
+        near = next((n for n in self.left if n is not None and n.content != page.content), None)
+        waiting.setdefault((page.content, id(near)), (page, near, []))[2].append(page.id)
+
+    def _done(self, entry: tuple, right: Page | None):
+        page, near, ids = entry
+        texts = main_body(page, [n for n in (near, right) if n is not None])
+        return ((i, texts) for i in ids)
+
+    def _spilled(self, right: Page | None):
+        """Ends the wait of pages in the file; copies of ``right`` wait on."""
+        file, self.file = self.file, None
+        file.seek(0)
+        while True:
+            try:
+                page = Page(*pickle.load(file))
+            except EOFError:
                 break
-            if n.blocks and n.url != page.url and not (n.title == page.title and n.lines == page.lines):
-                out.append(n)
-                break
-            k += step
-            seen += 1
-    return out
+            one: dict = {}
+            if right is not None and page.content == right.content:
+                self._wait(page, self.older)
+            else:
+                self._wait(page, one)
+            for entry in one.values():
+                yield from self._done(entry, right)
+        file.close()
+
+    def _end_host(self):
+        for entry in [*self.older.values(), *self.own.values()]:
+            yield from self._done(entry, None)
+        if self.file:
+            yield from self._spilled(None)
+        self.older, self.own, self.left, self.last = {}, {}, (None, None), (None, None)
+
+    def add(self, page: Page, html: str | None):
+        """Rows (page_id, texts) of the pages whose wait ends."""
+        if not page.blocks:
+            return
+        if self.at is None or self.at[0] != page.host:
+            yield from self._end_host()
+        elif self.at[1] != page.url:
+            for key, entry in self.own.items():
+                if key in self.older:
+                    self.older[key][2].extend(entry[2])
+                else:
+                    self.older[key] = entry
+            self.own = {}
+            if self.file:
+                yield from self._spilled(page)
+            self.left = self.last
+        self.at = (page.host, page.url)
+        for key in [k for k in self.older if k[0] != page.content]:
+            yield from self._done(self.older.pop(key), page)
+        if len(self.own) >= HELD and not any(k[0] == page.content for k in self.own):
+            if self.file is None:
+                self.file = tempfile.TemporaryFile()
+            pickle.dump((page.id, page.host, page.url, html), self.file)
+        else:
+            self._wait(page, self.own)
+        first, second = self.last
+        self.last = (page, second if first is not None and first.content == page.content else first)
 
 
 def _run(batches):
-    window: deque[Page] = deque()
-    at = 0  # the page whose turn it is
-
-    def emit(k: int):
-        page = window[k]
-        return page.id, main_body(page, _neighbours(window, k))
+    stream = Stream()
 
     def flush(rows):
         ids = [i for i, texts in rows for _ in dict.fromkeys(texts)]
@@ -120,22 +182,15 @@ def _run(batches):
         text = [t for _, texts in rows for t in dict.fromkeys(texts)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(md5, pa.string()), pa.array(text, pa.string())], ["page_id", "block_md5", "block"])
 
-    for b in batches:
-        rows = []
-        for page_id, host, url, html in zip(*(b.column(k).to_pylist() for k in range(4))):
-            window.append(Page(page_id, host, url, html))
-            while len(window) - at > REACH:
-                rows.append(emit(at))
-                at += 1
-                while at > REACH:
-                    window.popleft()
-                    at -= 1
-        yield flush(rows)
-    rows = []
-    while at < len(window):
-        rows.append(emit(at))
-        at += 1
-    yield flush(rows)
+    def decided():
+        for b in batches:
+            for page_id, host, url, html in zip(*(b.column(k).to_pylist() for k in range(4))):
+                yield from stream.add(Page(page_id, host, url, html), html)
+        yield from stream._end_host()
+
+    rows = decided()
+    while part := list(islice(rows, 1000)):
+        yield flush(part)
 
 
 def main_blocks(pages: DataFrame) -> DataFrame:
@@ -144,5 +199,5 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*|[?#].*$", "")
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "raw_html").where("raw_html is not null and page_id is not null")
-    ordered = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    ordered = rows.repartitionByRange("host", "path").sortWithinPartitions("host", "path", "page_id")
     return ordered.mapInArrow(_run, "page_id long, block_md5 string, block string")

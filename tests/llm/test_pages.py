@@ -111,3 +111,12 @@ def test_neighbours_behind_many_copies(held, monkeypatch):
     assert set(got) == {1, 40, *range(10, 30)}
     for p in copies:
         assert ("левая" in got[p.id], "правая" in got[p.id]) == (False, False)
+
+
+def test_article_in_nested_elements(spark):
+    split = "<title>Школа открыла парк</title><body><div><h1>Школа открыла парк</h1><div class=text><p>Первый абзац текста.</p><p>Город {region_name} рад.</p></div><div><p>Комментарии</p><p>Спасибо за новость!</p></div></div></body>"
+    inside = layout("Мост закрыт", "<p>Дорогу закрыли.</p><section><p>Мост {bridge} закрыли.</p></section><p>И это всё.</p>")
+    got = found(spark, [(1, "https://a.example/n/1", split), (2, "https://b.example/n/2", inside)])
+    assert got[1] == {"Школа открыла парк", "Первый абзац текста.", "Город {region_name} рад."}
+    assert got[2] == {"Мост закрыт", "Дорогу закрыли.", "Мост {bridge} закрыли.", "И это всё."}
+    assert [residue.page_kind(blocks_of(h), title_of(h)) for h in (split, inside)] == ["residue"] * 2

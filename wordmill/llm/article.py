@@ -95,17 +95,47 @@ def _prose(b: Block) -> bool:
     return b.link_share < LINK_SHARE and ends_sentence(b.text) and not is_prompt(b.text) and not is_meta(b.text) and not aside(b)
 
 
+def nested(blocks: list[Block], head: int | None, container: int, shared: list[bool] | None = None) -> set[int]:
+    """Blocks of the elements inside the container that are of the article: what is unshared, without
+    asides, elements that a prompt opens and lists of links. Right in the body, where the site's
+    elements stand too, only if the container has no prose of its own, and then those of the element
+    with most text."""
+    groups: dict[int, list[int]] = {}
+    own, body = False, False
+    for k in range(head + 1 if head is not None else 0, len(blocks)):
+        b = blocks[k]
+        if within(b, container):
+            own = own or (_prose(b) and not (shared and shared[k]))
+        elif container in b.ids:
+            at = b.ids.index(container)
+            body = b.path[at] in ("body", "html")
+            groups.setdefault(b.ids[at + 1], []).append(k)
+    text = {}
+    for c, rows in groups.items():
+        links = sum(blocks[k].link_share >= LINK_SHARE for k in rows)
+        if is_prompt(blocks[rows[0]].text) or (links > 1 and 3 * links >= len(rows)):
+            continue
+        kept = [k for k in rows if not (shared and shared[k]) and not any(p in _ASIDE for p in blocks[k].path[blocks[k].ids.index(container) + 1 :])]
+        if any(_prose(blocks[k]) for k in kept):
+            text[c] = kept
+    if body:
+        most = max(text, key=lambda c: sum(len(blocks[k].text) for k in text[c]), default=None)
+        return set() if own or most is None else set(text[most])
+    return {k for rows in text.values() for k in rows}
+
+
 def article_blocks(blocks: list[Block], head: int | None, container: int, shared: list[bool] | None = None) -> list[int]:
     """Blocks of the container from the headline on, without captions, meta lines, links and prompts.
 
     A prompt to share ends the article if no unshared prose of the container follows it. Right in
     the body, where the site's own lines stand too, prose behind another element doesn't count
     unless neighbours tell whether it is shared."""
+    inner = nested(blocks, head, container, shared)
     first = head if head is not None else 0
     last = -1
     for k in range(first, len(blocks)):
         b = blocks[k]
-        if not within(b, container):
+        if not within(b, container) and k not in inner and k != head:
             if last >= 0 and not shared and b.ids and container in b.ids and b.path[b.ids.index(container)] in ("body", "html"):
                 break
         elif k == head or (_prose(b) and not (shared and shared[k])):
@@ -115,6 +145,6 @@ def article_blocks(blocks: list[Block], head: int | None, container: int, shared
         b = blocks[k]
         if k > last and k != head and is_prompt(b.text) and _SHARE.match(b.text) and (out or head is not None) and (within(b, container) or b.ids and container in b.ids):
             break
-        if within(b, container) and not aside(b) and b.link_share < LINK_SHARE and (k == head or not (is_meta(b.text) or is_prompt(b.text))):
+        if (k == head or within(b, container) or k in inner) and not aside(b) and b.link_share < LINK_SHARE and (k == head or not (is_meta(b.text) or is_prompt(b.text))):
             out.append(k)
     return out

@@ -8,7 +8,7 @@ from wordmill.llm.html import Block
 
 #: Elements that a paragraph-like block may stand in without leaving the article's container.
 _WRAP = frozenset(("p", "ul", "ol", "li", "blockquote", "q", "dl"))
-_ASIDE = frozenset(("figure", "figcaption", "aside", "nav", "footer", "header", "form", "button", "label", "select", "menu"))
+ASIDE = frozenset(("figure", "figcaption", "aside", "nav", "footer", "header", "form", "button", "label", "select", "menu"))
 LINK_SHARE = 0.5
 
 _DATE = r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}\s+(?:янв|фев|мар|апр|мая|май|июн|июл|авг|сен|окт|ноя|дек|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\.?(?:\s+\d{4})?(?:\s*г\.?)?"
@@ -55,7 +55,7 @@ def owner(b: Block) -> int:
 
 
 def aside(b: Block) -> bool:
-    return any(p in _ASIDE for p in b.path[-2:])
+    return any(p in ASIDE for p in b.path[-2:])
 
 
 def within(b: Block, container: int) -> bool:
@@ -80,13 +80,13 @@ def headline(blocks: list[Block], title: str) -> int | None:
     return best
 
 
-def container_of(blocks: list[Block], head: int | None, shared: list[bool] | None = None) -> int:
+def container_of(blocks: list[Block], head: int | None) -> int:
     """The element that holds the article: the headline's, else the one with most text of its own."""
     if head is not None:
         return owner(blocks[head]) if blocks[head].path and blocks[head].path[-1] not in ("body", "td") else blocks[head].ids[-1]
     sums: dict[int, int] = {}
     for k, b in enumerate(blocks):
-        if b.link_share < LINK_SHARE and not (shared and shared[k]) and not aside(b) and not is_prompt(b.text):
+        if b.link_share < LINK_SHARE and not aside(b) and not is_prompt(b.text):
             sums[owner(b)] = sums.get(owner(b), 0) + len(b.text)
     return max(sums, key=lambda c: (sums[c], -c), default=0)
 
@@ -95,8 +95,8 @@ def _prose(b: Block) -> bool:
     return b.link_share < LINK_SHARE and ends_sentence(b.text) and not is_prompt(b.text) and not is_meta(b.text) and not aside(b)
 
 
-def nested(blocks: list[Block], head: int | None, container: int, shared: list[bool] | None = None) -> set[int]:
-    """Blocks of the elements inside the container that are of the article: what is unshared, without
+def nested(blocks: list[Block], head: int | None, container: int) -> set[int]:
+    """Blocks of the elements inside the container that are of the article: without
     asides, elements that a prompt opens and lists of links. Right in the body, where the site's
     elements stand too, only if the container has no prose of its own, and then those of the element
     with most text."""
@@ -105,7 +105,7 @@ def nested(blocks: list[Block], head: int | None, container: int, shared: list[b
     for k in range(head + 1 if head is not None else 0, len(blocks)):
         b = blocks[k]
         if within(b, container):
-            own = own or (_prose(b) and not (shared and shared[k]))
+            own = own or (_prose(b))
         elif container in b.ids:
             at = b.ids.index(container)
             body = b.path[at] in ("body", "html")
@@ -115,7 +115,7 @@ def nested(blocks: list[Block], head: int | None, container: int, shared: list[b
         links = sum(blocks[k].link_share >= LINK_SHARE for k in rows)
         if is_prompt(blocks[rows[0]].text) or (links > 1 and 3 * links >= len(rows)):
             continue
-        kept = [k for k in rows if not (shared and shared[k]) and not any(p in _ASIDE for p in blocks[k].path[blocks[k].ids.index(container) + 1 :])]
+        kept = [k for k in rows if not any(p in ASIDE for p in blocks[k].path[blocks[k].ids.index(container) + 1 :])]
         if any(_prose(blocks[k]) for k in kept):
             text[c] = kept
     if body:
@@ -124,21 +124,20 @@ def nested(blocks: list[Block], head: int | None, container: int, shared: list[b
     return {k for rows in text.values() for k in rows}
 
 
-def article_blocks(blocks: list[Block], head: int | None, container: int, shared: list[bool] | None = None) -> list[int]:
+def article_blocks(blocks: list[Block], head: int | None, container: int) -> list[int]:
     """Blocks of the container from the headline on, without captions, meta lines, links and prompts.
 
-    A prompt to share ends the article if no unshared prose of the container follows it. Right in
-    the body, where the site's own lines stand too, prose behind another element doesn't count
-    unless neighbours tell whether it is shared."""
-    inner = nested(blocks, head, container, shared)
+    A prompt to share ends the article if no prose of the container follows it. Right in the body,
+    where the site's own lines stand too, prose behind another element doesn't count."""
+    inner = nested(blocks, head, container)
     first = head if head is not None else 0
     last = -1
     for k in range(first, len(blocks)):
         b = blocks[k]
         if not within(b, container) and k not in inner and k != head:
-            if last >= 0 and not shared and b.ids and container in b.ids and b.path[b.ids.index(container)] in ("body", "html"):
+            if last >= 0 and b.ids and container in b.ids and b.path[b.ids.index(container)] in ("body", "html"):
                 break
-        elif k == head or (_prose(b) and not (shared and shared[k])):
+        elif k == head or (_prose(b)):
             last = k
     out = []
     for k in range(first, len(blocks)):

@@ -1,9 +1,9 @@
 """Template residue, filler and message pages.
 
 A multi-pattern automaton finds phrases of errors, blocks, notices and filler in the text of a
-page's article. A sentence counts as message or filler when the matched parts cover most of it; a
-page is a case when such sentences are most of its article, when a filler sentence is left in it, or
-when a field of a template is left unfilled. Sentences that only speak of such things are covered
+page's article. A sentence of any length counts as message or filler when the matched parts cover most
+of it; a page is a case when such sentences are most of its article, when a filler sentence is left in
+it, or when a field of a template is left unfilled or shows what scripts print for unset values. Sentences that only speak of such things are covered
 for a small part, and fields in quotation marks or named as notation are quoted, not left.
 
 Defined results: null, empty and blank pages are no cases; ``status`` isn't looked at; a repeated row
@@ -55,6 +55,10 @@ FIELD = re.compile(
     r"\{\{\s*[\w.$|\- ]+\s*\}\}|\$\{\s*[\w.]+\s*\}|\[\[\s*[\w.]+\s*\]\]|<%=?\s*[\w.$ ]+\s*%>|<\?(?:php|=)\s.*?\?>|\{%\s*[\w.$ ]+\s*%\}|\[%\s*[\w.$ ]+\s*%\]|@@\s*[\w.]+\s*@@"
     r"|(?<![\w%])%[A-Za-z_][A-Za-z_.]*%(?!\w)|(?<![\w#&])#[A-Za-z_][A-Za-z_.]*#(?!\w)|(?<!\w)__[A-Za-z][\w.]*?__(?!\w)|\{[A-Za-z_][\w.]*\}"
 )
+#: Values that scripts print for what was never set.
+UNSET = re.compile(r"\[object \w+\]|(?<![\w-])(?:NaN|undefined|null(?:\s+null)*|Infinity|Invalid [Dd]ate|#N/A|NULL|None)(?![\w-])")
+#: Those of them that are no words of a language.
+_UNSET_PLAIN = re.compile(r"\[object \w+\]|(?<![\w-])(?:NaN|undefined|null(?:\s+null)+|Invalid [Dd]ate|#N/A)(?![\w-])")
 _OPEN, _CLOSE = "«“„\"'`‘", "»”“\"'`’"
 #: Words that name a notation when they stand before it.
 _NOTATION = re.compile(r"(?:запис[ьи]|строк[аиу]|метк[аиу]|пол[ея]|тег[аи]?|код[аом]?|переменн\w+|обозначени\w+|конструкци\w+|выражени\w+|символ\w*|знак\w*|последовательност\w+|надпис[ьи]|the (?:string|tag|notation|field|variable|expression|placeholder)|like|such as|вида|вроде|типа)\s*[:—–-]?\s*$", re.I)
@@ -119,17 +123,15 @@ def sentence_kind(sentence: str) -> str:
     words = sentence.lower().split()
     if words and words[0].strip("«\"“") == "lorem" and not _CYR.search(sentence):
         return "filler"
-    if len(sentence) > 240:
-        return ""
     message, filler = coverage(sentence)
     if filler >= SENTENCE_SHARE and filler >= message:
         return "filler"
     return "message" if message >= SENTENCE_SHARE else ""
 
 
-def left_fields(text: str) -> bool:
+def left_fields(text: str, field: re.Pattern = FIELD) -> bool:
     """Whether a field was left unfilled, not quoted or spoken of."""
-    for m in FIELD.finditer(text):
+    for m in field.finditer(text):
         before, after = text[: m.start()].rstrip(), text[m.end() :].lstrip()
         quoted = before[-1:] in _OPEN and after[:1] in _CLOSE if before and after else False
         if not quoted and not _NOTATION.search(before):
@@ -137,6 +139,11 @@ def left_fields(text: str) -> bool:
     return False
 
 
+def is_meta_line(text: str) -> bool:
+    """A byline, date, views or section, with whatever was left unfilled in it."""
+    return is_meta(text) or (len(text) < 160 and is_meta(UNSET.sub("", FIELD.sub("", text)).strip()))
+
+
 def page_kind(blocks: list[Block], title: str) -> str:
     """``message`` for a page without an article, ``residue`` for an article with filler or a field
     left, empty for others."""
@@ -173,10 +180,13 @@ def page_kind(blocks: list[Block], title: str) -> str:
                 if share(own) >= MESSAGE_SHARE:
                     return "message"
     # The byline and other meta lines of the article belong to its visible text.
-    meta = [k for k, b in enumerate(blocks) if b.ids and container and (b.ids[-1] == container or owner(b) == container) and is_meta(FIELD.sub("", b.text).strip())]
+    meta = [k for k, b in enumerate(blocks) if b.ids and container and (b.ids[-1] == container or owner(b) == container) and is_meta_line(b.text)]
     for k in body + meta:
         if left_fields(blocks[k].text) or any(kind == "filler" for kind, _ in judged(k)):
             return "residue"
+    # A value that was never set: any in a meta line, in Russian sentences those that are no words.
+    if any(left_fields(blocks[k].text, UNSET) for k in meta) or any(_CYR.search(blocks[k].text) and left_fields(blocks[k].text, _UNSET_PLAIN) for k in body):
+        return "residue"
     return ""
 
 

@@ -88,7 +88,7 @@ def test_local_search_only_gains():
     bins = [[i] for i in range(200)]
     s = packing.LocalSearch(sizes, [list(b) for b in bins], 100)
     before = sum(f * f for f in s.fill)
-    out = s.run(1.0)
+    out = s.run()
     assert sum(f * f for f in s.fill) > before and len(out) < 200 and sorted(i for b in out for i in b) == list(range(200))
     assert all(sizes[b].sum() <= 100 for b in out)
 
@@ -96,5 +96,26 @@ def test_local_search_only_gains():
 def test_swap_beats_moves():
     # 60+30 and 50+40 leave room; exchanging 30 for 40 fills one.
     s = packing.LocalSearch(np.array([60, 30, 50, 40]), [[0, 1], [2, 3]], 100)
-    out = s.run(1.0)
+    out = s.run()
     assert max(s.fill) == 100 and len(out) == 2
+
+
+@pytest.mark.parametrize("low, high, n, least", [(2100, 3000, 100_000, 100_000), (1000, 1000, 100_000, 25_000), (900, 1800, 30_000, 9_870)])
+def test_no_block_outgrows_its_bound(spark, low, high, n, least):
+    """Sizes that leave room whatever one does: rounds end, and no task holds more than a block."""
+    items = spark.range(n).selectExpr("id as item", f"cast({low} + pmod(xxhash64(id), {high - low + 1}) as long) size")
+    rows = packing.pack(items).selectExpr("container", "size", "substring_index(container, '-', 2) block").groupBy("container", "block").agg({"size": "sum", "*": "count"}).toPandas()
+    assert rows["sum(size)"].max() <= packing.CAPACITY and rows["count(1)"].sum() == n
+    assert rows.groupby("block")["count(1)"].sum().max() <= 1.05 * packing.BLOCK_ITEMS
+    assert least <= len(rows) <= 1.03 * least
+
+
+def test_local_search_against_best_fit():
+    """Where best fit is far from the bound, exchanges empty containers; a local optimum is reached."""
+    sizes = np.random.default_rng(3).integers(900, 1800, 3000)
+    start = packing.best_fit(sizes, 4096)
+    found = packing.pack_items(sizes, 4096)
+    assert sorted(i for b in found for i in b) == list(range(3000)) and all(sizes[b].sum() <= 4096 for b in found)
+    assert len(found) < 0.95 * len(start)
+    end = packing.LocalSearch(sizes, found, 4096)
+    assert not any(end._step(a) for a in range(len(found)))

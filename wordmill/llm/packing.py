@@ -1,10 +1,12 @@
-"""Filling fixed-capacity containers: best fit, then swap-based local search.
+"""Filling fixed-capacity containers: swap-based local search.
 
 Items are put into blocks of bounded size by a hash of their id, and each block is packed on its
-own: best-fit decreasing first, then a local search over the underfull containers that moves an
-item, exchanges one for one or two for one whenever the sum of squared fills grows, so containers
-empty. Containers that stay below the wanted fill give their items back to the pool, which is
-packed again in fewer blocks, until one block holds what is left.
+own: a start (best fit, or next fit), then a local search over the underfull containers that moves
+an item, exchanges one for one, one for two or two for one whenever the sum of squared fills grows,
+so containers empty. It ends at a local optimum: no step between any two containers of the block is
+left. The emptiest containers of a block give their items back to the pool, at most an eighth of the
+block's items, and the pool is packed again in fewer blocks, until one block holds it; so no
+task ever holds more than about ``block_items`` items, whatever the sizes are.
 
 An item above the capacity is cut into pieces that follow each other: full pieces have a container
 of their own, the rest is an item like others.
@@ -16,7 +18,6 @@ the capacity; repeated ids are items of their own; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import random
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,10 @@ from wordmill.session import materialise
 CAPACITY = 4096
 BLOCK_ITEMS = 20_000
 WANTED_FILL = 0.995
+#: Share of a block's items that may go round again: each round has an eighth of the last one's items at most.
+AGAIN_SHARE = 0.125
+#: Best fit with so many times the least number of containers is a start for the search.
+NEAR = 1.02
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -52,97 +57,116 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def next_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Items in the order given, a new container whenever one doesn't fit."""
+    bins: list[list[int]] = []
+    room = 0
+    for i, s in enumerate(sizes.tolist()):
+        if s > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= s
+    return bins
+
+
 class LocalSearch:
-    """Moves and swaps between underfull containers that raise the sum of squared fills."""
+    """Moves, one-for-one, one-for-two and two-for-one exchanges that raise the sum of squared fills.
+
+    Every way a container can take something in is a key: the largest size it can take while it
+    gives back nothing, one or two of its items. Keys of all containers are in one sorted list, so
+    the partner that a given size fills best is found by binary search among all of them. A step from
+    ``a`` to ``b`` raises the sum of squares just if ``b`` then has less room than ``a`` had, which
+    bounds the keys to look at. Donors come from the emptiest on; the search ends when no donor has a step."""
 
-    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int, seed: int = 0):
-        self.size, self.bins, self.cap = sizes.tolist(), bins, capacity
+    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int):
+        self.size, self.cap = sizes.tolist(), capacity
+        self.bins = [list(b) for b in bins]
         self.fill = [sum(self.size[i] for i in b) for b in bins]
-        self.rng = random.Random(seed)
-
-    def _gain(self, a: int, b: int, d: int) -> bool:
-        """Whether moving d from a to b raises the sum of squares: the fuller one grows."""
-        return d and self.fill[b] + d <= self.cap and (self.fill[b] + d) ** 2 + (self.fill[a] - d) ** 2 > self.fill[a] ** 2 + self.fill[b] ** 2
-
-    def _shift(self, a: int, b: int, give: list[int], take: list[int]) -> None:
-        d = sum(self.size[i] for i in give) - sum(self.size[i] for i in take)
-        for i in give:
-            self.bins[a].remove(i)
-        for i in take:
-            self.bins[b].remove(i)
-        self.bins[a] += take
-        self.bins[b] += give
-        self.fill[a] -= d
-        self.fill[b] += d
-
-    def _improve(self, a: int, b: int) -> bool:
-        """The best step that moves weight from a into b: a move, one for one, two for one, one for two."""
-        room = self.cap - self.fill[b]
-        if not room or not self.bins[a]:
+        self.version = [0] * len(bins)
+        self.keys = sorted(e for b in range(len(bins)) for e in self._ways(b))
+
+    def _ways(self, b: int):
+        room, size = self.cap - self.fill[b], self.size
+        if room > 0:
+            v = self.version[b]
+            yield room, b, v, 0, ()
+            for x, i in enumerate(self.bins[b]):
+                yield room + size[i], b, v, size[i], (i,)
+                for j in self.bins[b][:x]:
+                    yield room + size[i] + size[j], b, v, size[i] + size[j], (j, i)
+
+    def _partner(self, a: int, s: int, back: int):
+        """The way with least room left that takes ``s`` from ``a`` for something smaller, at most ``back`` items."""
+        keys, least = self.keys, self.cap - self.fill[a] + s
+        at = bisect.bisect_left(keys, (s,))
+        while at < len(keys) and keys[at][0] < least:
+            _, b, v, t, taken = keys[at]
+            if self.version[b] != v:  # of before a step
+                del keys[at]
+            elif b != a and t < s and len(taken) <= back:
+                return keys[at]
+            else:
+                at += 1
+        return None
+
+    def _step(self, a: int) -> bool:
+        items, size = self.bins[a], self.size
+        best = None
+        for x, i in enumerate(items):
+            for give, back in (((i,), 2), *(((j, i), 1) for j in items[:x])):
+                s = sum(size[k] for k in give)
+                found = self._partner(a, s, back) if s <= self.cap else None
+                if found and (best is None or found[0] - s < best[0]):
+                    best = found[0] - s, give, found
+        if best is None:
             return False
-        best, step = 0, None
-        mine = sorted((self.size[i], i) for i in self.bins[a])
-        theirs = sorted((self.size[i], i) for i in self.bins[b])
-
-        def offer(d: int, give: list[int], take: list[int]) -> None:
-            nonlocal best, step
-            if best < d <= room and self._gain(a, b, d):
-                best, step = d, (give, take)
-
-        for s, i in mine:
-            offer(s, [i], [])
-            for t, j in theirs:
-                offer(s - t, [i], [j])
-        keys = [t for t, _ in theirs]
-        for x in range(len(mine)):
-            for y in range(x):
-                two = mine[x][0] + mine[y][0]
-                offer(two, [mine[x][1], mine[y][1]], [])
-                # The smallest item to take back that leaves no overflow gains most.
-                at = bisect.bisect_left(keys, two - room)
-                if at < len(theirs):
-                    offer(two - keys[at], [mine[x][1], mine[y][1]], [theirs[at][1]])
-        own = [s for s, _ in mine]
-        for x in range(len(theirs)):
-            for y in range(x):
-                two = theirs[x][0] + theirs[y][0]
-                at = bisect.bisect_right(own, two + room) - 1
-                if at >= 0:
-                    offer(own[at] - two, [mine[at][1]], [theirs[x][1], theirs[y][1]])
-        if step:
-            self._shift(a, b, *step)
-        return bool(step)
-
-    def run(self, wanted: float = WANTED_FILL, passes: int = 8, partners: int = 12) -> list[list[int]]:
-        for _ in range(passes):
-            open_ = [k for k in range(len(self.bins)) if self.bins[k] and self.fill[k] < wanted * self.cap]
-            if len(open_) < 2:
-                break
+        _, give, (_, b, _, t, taken) = best
+        moved = sum(size[i] for i in give) - t
+        self.bins[a] = [i for i in items if i not in give] + list(taken)
+        self.bins[b] = [i for i in self.bins[b] if i not in taken] + list(give)
+        self.fill[a] -= moved
+        self.fill[b] += moved
+        for k in (a, b):
+            self.version[k] += 1
+            for way in self._ways(k):
+                bisect.insort(self.keys, way)
+        return True
+
+    def run(self) -> list[list[int]]:
+        changed = True
+        while changed:
             changed = False
-            open_.sort(key=lambda k: self.fill[k])
-            for a in open_:
-                near = self.rng.sample(open_, min(partners, len(open_)))
-                for b in sorted(near, key=lambda k: -self.fill[k]):
-                    while a != b and self.bins[a] and self.bins[b] and self._improve(a, b):
-                        changed = True
-            if not changed:
-                break
+            for a in sorted((k for k, b in enumerate(self.bins) if b and self.fill[k] < self.cap), key=lambda k: self.fill[k]):
+                while self.bins[a] and self._step(a):
+                    changed = True
         return [b for b in self.bins if b]
 
 
-def _pack_block(capacity: int, wanted: float):
+def pack_items(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Containers of one block. The search starts from best fit where that is near the sum of sizes,
+    else (sizes of a third of the capacity or so, which best fit pairs badly) from next fit."""
+    least = -(-int(sizes.sum()) // capacity)
+    bins = best_fit(sizes, capacity)
+    if len(bins) <= NEAR * least:
+        return LocalSearch(sizes, bins, capacity).run()
+    return min(bins, LocalSearch(sizes, next_fit(sizes, capacity), capacity).run(), key=len)
+
+
+def _pack_block(capacity: int, wanted: float, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["item", "piece"], kind="stable").reset_index(drop=True)
         sizes = rows["size"].to_numpy()
-        bins = LocalSearch(sizes, best_fit(sizes, capacity), capacity, int(key[0])).run(wanted)
-        out = rows.assign(bin=0, place=0, fill=0)
-        bin_, place, fill = (np.zeros(len(rows), np.int64) for _ in range(3))
-        for k, b in enumerate(bins):
+        bin_, place, again = (np.zeros(len(rows), np.int64) for _ in range(3))
+        # The emptiest containers go round again, as far as they hold a share of the block's items.
+        pool = 0 if last else int(len(rows) * AGAIN_SHARE)
+        fill = lambda b: int(sizes[b].sum())
+        for k, b in enumerate(sorted(pack_items(sizes, capacity), key=fill)):
+            back = fill(b) < wanted * capacity and len(b) <= pool
+            pool = pool - len(b) if back else 0
             for n, i in enumerate(sorted(b)):
-                bin_[i], place[i] = k, n
-            fill[b] = sizes[b].sum()
-        out["bin"], out["place"], out["fill"] = bin_, place, fill
-        return out
+                bin_[i], place[i], again[i] = k, n, back
+        return rows.assign(bin=bin_, place=place, again=again)
 
     return run
 
@@ -158,22 +182,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_IT
     own = long_.select("item", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece")).select("item", "piece", (F.col("piece").cast("long") * capacity).alias("start"), cap.cast("long").alias("size"))
     rest = long_.select("item", full.alias("piece"), (full.cast("long") * capacity).alias("start"), (F.col("size") % cap).cast("long").alias("size")).where("size > 0")
     pool = items.where(F.col("size") <= capacity).select("item", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("size")).unionByName(rest)
-    schema = "item long, piece int, start long, size long, block long, bin long, place long, fill long"
+    schema = "item long, piece int, start long, size long, block long, bin long, place long, again long"
     done = own.select("*", F.concat_ws("-", F.lit("f"), "item", "piece").alias("container"), F.lit(0).alias("place"))
-    n = pool.count()
-    level = 0
+    n, level = pool.count(), 0
     while n:
-        blocks = max(1, -(-n // block_items))
+        blocks = -(-n // block_items)
         salted = pool.withColumn("block", F.pmod(F.xxhash64("item", "piece", F.lit(level)), F.lit(blocks)))
-        packed = materialise(salted.groupBy("block").applyInPandas(_pack_block(capacity, wanted), schema), "packed")
-        keep = F.lit(True) if blocks == 1 else F.col("fill") >= wanted * capacity
-        closed = packed.where(keep)
+        packed = materialise(salted.groupBy("block").applyInPandas(_pack_block(capacity, wanted, blocks == 1), schema), "packed")
+        closed = packed.where("again = 0")
         done = done.unionByName(closed.select("item", "piece", "start", "size", F.concat_ws("-", F.lit(f"b{level}"), "block", "bin").alias("container"), F.col("place").cast("int").alias("place")))
-        if blocks == 1:
-            break
-        pool = packed.where(~keep).select("item", "piece", "start", "size")
-        left = pool.count()
-        if left > 0.5 * n:  # blocks that fill badly: larger ones, so the number of rounds stays logarithmic
-            block_items *= 2
-        n, level = left, level + 1
+        pool = packed.where("again = 1").select("item", "piece", "start", "size")
+        n, level = (pool.count() if blocks > 1 else 0), level + 1
     return done

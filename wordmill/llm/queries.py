@@ -96,6 +96,15 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes).withColumnsRenamed({"item": "doc_id", "size": "n_tokens", "start": "start_token"})
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: their number, the least number that the tokens ask for, and the fill."""
+    from wordmill.llm.packing import CAPACITY
+
+    rows = p9_containers(spark, sf_dir)
+    n, tokens = F.countDistinct("container"), F.sum("n_tokens")
+    return rows.agg(n.alias("containers"), tokens.alias("tokens"), F.ceil(tokens / CAPACITY).alias("least"), (tokens / (n * CAPACITY)).alias("fill"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.pii import personal_items
 
@@ -110,7 +119,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p7_found, p7_figures, p8_ids, p9_containers, p10_found, p10_texts)
+    for f in (p1_found, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p7_found, p7_figures, p8_ids, p9_containers, p9_fill, p10_found, p10_texts)
 }
 
 _TERM = "replace(lower(trim(nfc_normalize(term), ' ' || chr(9) || chr(10) || chr(13) || chr(160))), 'ё', 'е')"

@@ -77,10 +77,15 @@ def numbered(rows: DataFrame, by: tuple[str, ...], start: int = 0) -> DataFrame:
 
 
 def page_caps(pages: DataFrame, sources: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """The first ``max_pages`` pages of each source by ``order``."""
+    """The first ``max_pages`` pages of each source by ``order``.
+
+    The largest cap is a limit that holds for all sources, so every task cuts its rows of a source at
+    it before they are shuffled."""
     w = Window.partitionBy("source_id").orderBy(*order)
+    most = sources.agg(F.max("max_pages")).first()[0] or 0
     capped = pages.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "max_pages")), "source_id")
-    return capped.withColumn("at", F.row_number().over(w)).where("at <= max_pages").drop("at", "max_pages")
+    first = capped.withColumn("at", F.row_number().over(w)).where(F.col("at") <= most)
+    return first.where("at <= max_pages").drop("at", "max_pages")
 
 
 def store(pages: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as T
@@ -55,25 +55,46 @@ def dictionary(postings: DataFrame, n_docs: int | None = None, log_mode: str = "
     return d.withColumn("idf", T.log_of(F.lit(float(n_docs)) / F.col("df"), log_mode))
 
 
-def weights(postings: DataFrame, n_docs: int, log_mode: str = "reference") -> DataFrame:
+#: A dictionary of at most so many terms is sent to all tasks; in a larger one only terms in so many documents are.
+BROADCAST_TERMS, HOT_DF = 500_000, 100_000
+#: Counts whose logarithm is looked up; others are worked out.
+_COUNTS = 64
+
+
+def _log_count(tf: Column, log_mode: str) -> Column:
+    known = F.array(*(F.lit(T.log_number(float(k), log_mode)) for k in range(1, _COUNTS + 1)))
+    return F.when(tf <= _COUNTS, F.element_at(known, tf.cast("int"))).otherwise(T.log_of(tf.cast("double"), log_mode))
+
+
+def weights(postings: DataFrame, n_docs: int, log_mode: str = "reference", words: DataFrame | None = None) -> DataFrame:
     """(term, doc_id, tf, df, w) with w = (1 + f(tf)) * f(N / df).
 
-    The logarithms are worked out for each dictionary row and each distinct count, not for each posting."""
-    words = dictionary(postings, n_docs, log_mode)
-    counts = postings.select("tf").distinct().withColumn("lt", 1 + T.log_of(F.col("tf").cast("double"), log_mode))
-    return postings.join(words, "term").join(counts, "tf").select("term", "doc_id", "tf", "df", (F.col("lt") * F.col("idf")).alias("w"))
+    The dictionary is written and its size looked at: a small one is sent to all tasks, so postings
+    aren't shuffled; of a larger one the terms of ``HOT_DF`` or more documents are (at most the
+    terms of a document * N / ``HOT_DF``), and the others, whose lists are bounded, meet by term."""
+    words = materialise(dictionary(postings, n_docs, log_mode), "dictionary") if words is None else words
+    scored = lambda rows: rows.select("term", "doc_id", "tf", "df", ((1 + _log_count(F.col("tf"), log_mode)) * F.col("idf")).alias("w"))
+    if words.count() <= BROADCAST_TERMS:
+        return scored(postings.join(F.broadcast(words), "term"))
+    hot = F.broadcast(words.where(F.col("df") >= HOT_DF))
+    rest = postings.join(hot.select("term"), "term", "left_anti").join(words.where(F.col("df") < HOT_DF), "term")
+    return scored(postings.join(hot, "term")).unionByName(scored(rest))
 
 
-def documents_table(documents: DataFrame, postings: DataFrame, options: IndexOptions = DEFAULT) -> DataFrame:
+def documents_table(documents: DataFrame, postings: DataFrame, options: IndexOptions = DEFAULT, n_docs: int | None = None, words: DataFrame | None = None) -> DataFrame:
     """(doc_id, url, title, doc_len, norm) of every document, those without tokens included.
 
     Repeated ids count as documents each (N), their postings add up, and the row with the largest
-    ``fetch_ts`` gives URL and title."""
+    ``fetch_ts`` gives URL and title. A column ``title`` of the documents (of their meta data) is
+    the title where it isn't blank; else the first line of the text is."""
     docs = corpus(documents, options)
-    n = docs.count()
-    norms = weights(postings, n, options.log_mode).groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    n = docs.count() if n_docs is None else n_docs
+    norms = weights(postings, n, options.log_mode, words).groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     url = F.col("url") if "url" in documents.columns else F.concat(F.lit("doc://"), F.col("doc_id"))
-    rows = docs.select("doc_id", url.alias("url"), T.title_of_text(F.col("text")).alias("title"), *(["fetch_ts"] if "fetch_ts" in documents.columns else []))
+    title = T.title_of_text(F.col("text"))
+    if "title" in documents.columns:
+        title = F.when(F.trim("title") != "", T.title_of_text(F.col("title"))).otherwise(title)
+    rows = docs.select("doc_id", url.alias("url"), title.alias("title"), *(["fetch_ts"] if "fetch_ts" in documents.columns else []))
     last = F.struct(*(["fetch_ts"] if "fetch_ts" in documents.columns else []), "url", "title")
     rows = rows.groupBy("doc_id").agg(F.max(last).alias("last")).select("doc_id", "last.url", "last.title")
     return rows.join(norms, "doc_id", "left").select("doc_id", "url", "title", F.coalesce("doc_len", F.lit(0)).alias("doc_len"), F.coalesce("norm", F.lit(0.0)).alias("norm"))
@@ -86,10 +107,10 @@ def write_index(documents: DataFrame, path: str, options: IndexOptions = DEFAULT
     posted = materialise(postings(documents, options), "postings")
     posted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     posted = spark.read.parquet(f"{path}/postings")
-    docs = documents_table(documents, posted, options)
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
     n = corpus(documents, options).count()
     dictionary(posted, n, options.log_mode).sort("term").write.mode("overwrite").parquet(f"{path}/dictionary")
+    words = spark.read.parquet(f"{path}/dictionary")
+    documents_table(documents, posted, options, n, words).write.mode("overwrite").parquet(f"{path}/docs")
 
 
 @dataclass
@@ -108,15 +129,28 @@ def read_index(spark, path: str, log_mode: str = "reference") -> Index:
 
 
 def index_of(documents: DataFrame, options: IndexOptions = DEFAULT) -> Index:
-    """An index without files: lazy tables over the documents."""
-    posted = postings(documents, options)
-    return Index(posted, documents_table(documents, posted, options), corpus(documents, options).count(), options.log_mode)
+    """An index for one session: postings and dictionary are written to the shared folder once, so
+    the texts are read and cut into tokens once; documents stay lazy."""
+    posted = materialise(postings(documents, options), "postings")
+    n = corpus(documents, options).count()
+    words = materialise(dictionary(posted, n, options.log_mode), "dictionary")
+    return Index(posted, documents_table(documents, posted, options, n, words), n, options.log_mode)
 
 
 def posting_gaps(postings: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, gap): the first id of a list stands for itself."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return postings.select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("gap"))
+    """(term, doc_id, tf, gap): the first id of a list stands for itself.
+
+    Lists are cut into ranges of (term, doc_id), so a term of every document is in many tasks; the
+    last posting of each range, one row a task, is handed on to the next."""
+    ranged = postings.select("term", "doc_id", "tf").repartitionByRange("term", "doc_id").withColumn("part", F.spark_partition_id())
+    # The partition of a row must not be worked out twice, so the ranges are written first.
+    ranged = materialise(ranged, "ranges")
+    ends = ranged.groupBy("part").agg(F.max(F.struct("term", "doc_id")).alias("end"))
+    before = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("before"))
+    w = Window.partitionBy("part").orderBy("term", "doc_id")
+    last = F.coalesce(F.lag(F.struct("term", "doc_id")).over(w), F.col("before"))
+    rows = ranged.join(F.broadcast(before), "part").withColumn("last", last)
+    return rows.select("term", "doc_id", "tf", (F.col("doc_id") - F.when(F.col("last.term") == F.col("term"), F.col("last.doc_id")).otherwise(F.lit(0))).alias("gap"))
 
 
 def compression_stats(postings: DataFrame) -> DataFrame:

@@ -41,6 +41,7 @@ def ranked_terms(freqs: DataFrame) -> DataFrame:
 
 def zipf(freqs: DataFrame) -> DataFrame:
     """(rank, freq, zipf_pred): the prediction is the largest frequency over the rank."""
+    freqs = materialise(freqs, "freqs")  # read twice: not tokenised twice
     top = freqs.agg(F.max("freq").alias("f1")).first()[0]
     return ranked_terms(freqs).select("rank", "freq", F.round(F.lit(float(top or 0)) / F.col("rank"), 6).alias("zipf_pred"))
 
@@ -68,6 +69,7 @@ def tokenizer_stats(documents: DataFrame, **options) -> DataFrame:
 
 def top_terms(freqs: DataFrame, n: int = 20, keep_stop_words: bool = True) -> DataFrame:
     """(term, freq, share) of the ``n`` most frequent; the share is of all tokens, in percent."""
+    freqs = materialise(freqs, "freqs")
     total = freqs.agg(F.sum("freq")).first()[0] or 0
     rows = freqs if keep_stop_words else freqs.where(~T.is_query_stop(F.col("term")))
     return rows.orderBy(F.desc("freq"), "term").limit(max(1, n)).select("term", "freq", (F.lit(100.0) * F.col("freq") / total).alias("share"))

@@ -1,11 +1,13 @@
 """Personal information in free text: bootstrapped contextual extraction.
 
-Tasks scan texts for candidates of each kind by shape. A candidate whose shape leaves no doubt
-(``+7 (946) 689-62-15``; ``Surname X. Y.``) is a seed; others (a local number, a run of twelve
-digits, two capitalised words) could be something else. Spark then scores the graph of patterns (the
-words before or after a candidate) and instances (the number's form, the given name): a pattern most
-of whose candidates are accepted is trusted and accepts its other candidates, whose instances are
-accepted elsewhere in the next round. What no trusted pattern or instance supports is left out.
+Tasks scan texts for candidates. A few shapes are seeds by themselves (``+7 (946) 689-62-15``, a
+number right behind ``СНИЛС``, a patronymic between two names, a given name of a short list); all
+others are only possible items: local numbers, digits of any grouping, e-mail addresses written
+so that programs miss them, streets without ``дом``, capitalised words of unknown given names. Spark
+scores the graph of patterns (the words before and after) and instances (a number's form, the stem of
+a given name): a pattern most of whose candidates are accepted is trusted and accepts its other
+candidates, whose instances and other patterns are trusted in the next round, until a round adds
+nothing. What no trusted pattern or instance supports is left out.
 
 Defined results: null, empty and blank texts have no items; positions are code points from 0;
 each occurrence is a row; items of one text don't overlap (the more specific kind wins); a repeated
@@ -22,8 +24,13 @@ from pyspark.sql import functions as F
 
 from wordmill.session import materialise, spread
 
-ROUNDS = 3
-TRUST, SUPPORT = 0.6, 3
+#: Rounds at most; the scores settle after three or four.
+ROUNDS = 8
+#: Share of accepted candidates from which a pattern is trusted, and the candidates it must have. Shapes of
+#: numbers and streets tell more than two capitalised words do.
+TRUST, TRUST_NAME, SUPPORT = 0.4, 0.6, 3
+#: Share and support a pattern must have to take in what has no shape of the kind at all.
+TRUST_ANY, SUPPORT_ANY = 0.9, 10
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 #: Seed given names.
@@ -43,6 +50,7 @@ _EMAIL_HINT = re.compile(r"[@＠]|собак|собач|[(\[{<]\s?(?:at|а|dog)\
 _NUMBER = re.compile(r"(?<![\w.,:/№-])(?:\+[^\S\n]?|\()?\d(?:[\d().–—‑-]|[^\S\n])*(?:(?:[^\S\n]?№[^\S\n]?|,[^\S\n]?номер[^\S\n]|[^\S\n]номер[^\S\n])\d{6}|\d)(?![\w/]|[:,.]\d|-\w)")
 _GROUP = re.compile(r"\S+")
 _DECIMAL = re.compile(r"\d+\.\d+")
+_DATE = re.compile(r"\d{1,2}[.-]\d{1,2}[.-]\d{2,4}|\d{4}[.-]\d{1,2}[.-]\d{1,2}")
 _SEP = r"[\s.–—‑-]*"
 _PHONE_FULL = re.compile(rf"(?:\+\s?7|[78])(?:{_SEP}\(?\d{{3,5}}\)?{_SEP}\d{{1,3}}{_SEP}\d{{2}}{_SEP}\d{{2}})")
 _PHONE_CODE = re.compile(rf"\(\d{{3,5}}\){_SEP}\d{{1,3}}{_SEP}\d{{2}}{_SEP}\d{{2}}")
@@ -67,6 +75,10 @@ _ADDRESS = re.compile(
 _ADDRESS_HINT = re.compile(rf"(?<!\w){_STREET}(?!\w)", re.I)
 _STREET_EN = re.compile(r"(?<![\w.,:-])\d{1,4}[A-Za-z]?\s(?:[A-Z][\w'-]+\s){1,3}(?:Street|St|Avenue|Ave|Lane|Ln|Road|Rd|Drive|Dr|Boulevard|Blvd|Square|Sq|Court|Ct|Place|Pl|Way|Terrace|Crescent|Quay|Embankment|Alley)\b\.?(?:,?\s(?:apt|apartment|flat|unit|suite)\.?\s?#?\d+\w?)?")
 _CAPITAL = re.compile(r"[А-ЯЁA-Z]")
+#: A house by its word.
+_FULL_ADDRESS = re.compile(r"\b(?:дом[аеу]?\b|д\.)", re.I)
+#: The form of a candidate without a shape of its kind.
+ANY = "?"
 
 _PATRONYMIC = re.compile(r"\w{2,}(?:ович|евич|ьич|ич)(?:а|у|ем|ом|е)?|\w{2,}(?:овн|евн|ичн|иничн)(?:а|ы|е|у|ой|ою)", re.I)
 _SURNAME = re.compile(
@@ -95,18 +107,27 @@ def given_forms(name: str) -> list[str]:
     return [name + e for e in ("", "а", "у", "ом", "ем", "е")]
 
 
-def _seed_forms() -> frozenset[str]:
-    return frozenset(f for n in GIVEN_RU.split() for f in given_forms(n)) | frozenset(GIVEN_EN.split())
+def seed_forms(names: list[str]) -> frozenset[str]:
+    """All forms of given names in either alphabet."""
+    return frozenset(f for n in names for f in ([n] if n.isascii() else given_forms(n)))
 
 
-_GIVEN = _seed_forms()
+#: Given names that the rounds start from.
+SEED_NAMES = tuple((GIVEN_RU + " " + GIVEN_EN).split())
+_CASE = re.compile(r"(?:ою|ей|ой|ом|ем|ью|[аеиоуыюяьй])$")
+
+
+def _given_stem(word: str) -> str:
+    """What the cases of a given name have in common."""
+    low = word.lower().replace("ё", "е")
+    return _CASE.sub("", low) or low
 
 
 def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
     """The two words and the word before, and the word after; digits to 0."""
     left = re.sub(r"\d+", "0", text[max(0, start - 60) : start].lower()).split()
     left = [w.strip("(«\"[") or w for w in left]
-    right = re.sub(r"\d+", "0", text[end : end + 30].lower()).split()
+    right = [w for w in (x.strip(".,;:!?…»”\")]") for x in re.sub(r"\d+", "0", text[end : end + 40].lower()).split()) if w]
     one = left[-1] if left else "^"
     return " ".join(left[-2:]) or "^", one, right[0] if right else "$"
 
@@ -128,15 +149,15 @@ def _number_kind(raw: str, before: str) -> tuple[str, bool] | None:
         return None
     labelled = bool(_DOCUMENT.search(before))
     if _SNILS.fullmatch(raw):
-        return "id_number", True
+        return "id_number", labelled
     if _PASSPORT.fullmatch(raw):
-        return "id_number", labelled or "№" in raw or "номер" in raw
+        return "id_number", labelled
     if n == 12 and _TAX.fullmatch(raw):
         return "id_number", labelled
     if _PHONE_FULL.fullmatch(raw) and n == 11:
-        return "phone", not raw.isdigit()
+        return "phone", raw.startswith("+") or "(" in raw
     if (_PHONE_CODE.fullmatch(raw) and 8 <= n <= 10) or (raw.startswith("+") and _PHONE_WORLD.fullmatch(raw)):
-        return "phone", True
+        return "phone", raw.startswith("+")
     if n == 11 and raw.isdigit():
         return "id_number", labelled
     if _PHONE_LOCAL.fullmatch(raw) or (n == 10 and not raw.isdigit() and _PHONE_TEN.fullmatch(raw)):
@@ -165,7 +186,7 @@ def _numbers(text: str):
             continue
         # Several numbers parted by blanks: from each group on, the longest run that has a kind.
         groups = [(g.start(), g.end(), sum(ch.isdigit() for ch in g.group())) for g in _GROUP.finditer(text, m.start(), m.end())]
-        i = 0
+        i, any_kind = 0, False
         while i < len(groups) and len(groups) > 1:
             n, j = 0, i
             while j < len(groups) and n + groups[j][2] <= 15:
@@ -180,10 +201,32 @@ def _numbers(text: str):
                 found = _number_at(text, groups[i][0], _trim_number(text[groups[i][0] : groups[j][1]]))
             if found:
                 yield found
+                any_kind = True
             i = j + 1 if found else i + 1
+        if not any_kind:
+            yield from _any_number(text, m.start(), m.end())
+
+
+def _any_number(text: str, start: int, end: int):
+    raw = _trim_number(text[start:end])
+    if 5 <= sum(ch.isdigit() for ch in raw) <= 15 and not _DECIMAL.fullmatch(raw) and not _DATE.fullmatch(raw):
+        for kind in ("phone", "id_number"):
+            yield kind, start, start + len(raw), ANY, False
 
 
 _kinds: dict[str, int] = {}
+_given: frozenset[str] = frozenset()
+
+
+def use_names(given: frozenset[str]) -> None:
+    """Sets the seed given names of this process."""
+    global _given
+    if given != _given:
+        _given = given
+        _kinds.clear()
+
+
+use_names(seed_forms(list(SEED_NAMES)))
 
 
 def _word_kind(w: str) -> int:
@@ -191,7 +234,7 @@ def _word_kind(w: str) -> int:
     k = _kinds.get(w)
     if k is None:
         low = w.lower().replace("ё", "е")
-        k = (low in _GIVEN) | (2 if len(w) > 5 and _PATRONYMIC.fullmatch(w) else 0) | (4 if _SURNAME.fullmatch(w) and len(w) > 3 else 0) | (8 if w[0].isupper() else 0)
+        k = (low in _given) | (2 if len(w) > 5 and _PATRONYMIC.fullmatch(w) else 0) | (4 if _SURNAME.fullmatch(w) and len(w) > 3 else 0) | (8 if w[0].isupper() else 0)
         if len(_kinds) > 300_000:
             _kinds.clear()
         _kinds[w] = k
@@ -220,6 +263,11 @@ def _names(text: str):
     def initial(k: int) -> bool:
         return 0 <= k < n and words[k][1] - words[k][0] == 1 and bool(_INITIAL.match(words[k][2])) and text[words[k][1] : words[k][1] + 1] == "."
 
+    def inside(k: int) -> bool:
+        """Not at the beginning of a line or sentence."""
+        left = text[max(0, words[k][0] - 4) : words[k][0]].rstrip(" \u00a0«„(\"")
+        return bool(left) and left[-1] not in ".!?…\n:"
+
     i = 0
     while i < n:
         k = kinds[i]
@@ -254,8 +302,14 @@ def _names(text: str):
                 yield words[i][0], words[j][1], words[i][2].lower(), True
                 i = j + 1
                 continue
+        j = i + 1
+        if not k & 1 and j + 1 < n and len(words[i][2]) > 2 and kinds[j + 1] & 12 == 12 and words[i][2].lower() not in _NO_NAME:
+            # The same around a given name that isn't known: the patronymic or initial tells.
+            if (kinds[j] & 2 and not k & 2 and near(i, j) and near(j, j + 1)) or (initial(j) and not k & 4 and near(i, j) and near(j, j + 1, True) and inside(i)):
+                yield words[i][0], words[j + 1][1], words[i][2], True
+                i = j + 2
+                continue
         if k & 4 or (k & 8 and i + 1 < n and (kinds[i + 1] & 1 or kinds[i + 1] & 2)):
-            j = i + 1
             if j < n and kinds[j] & 1 and near(i, j) and k & 4:
                 # Surname Given [Patronymic]
                 end = j
@@ -293,28 +347,35 @@ def _names(text: str):
                 i += 1
                 continue
             given = words[i][2] if kinds[j] & 4 and not k & 4 else words[j][2]
-            yield words[i][0], words[j][1], given.lower(), False
+            yield words[i][0], words[j][1], given, False
+        elif len(first) > 2 and first not in _NO_NAME and j < n and kinds[j] & 8 and near(i, j) and not initial(j) and not (k | kinds[j]) & 1 and len(words[j][2]) > 2 and words[i][2][1:].islower() and words[j][2][1:].islower():
+            yield words[i][0], words[j][1], ANY, False
         i += 1
 
 
 def scan(text: str) -> list[tuple]:
-    """Candidates of a text: (kind, start, end, form, seed)."""
+    """Candidates of a text: (kind, start, end, form, seed); the form is ``ANY`` where nothing but the
+    context can tell."""
     out = []
     if _EMAIL_HINT.search(text):
         for m in _EMAIL.finditer(text):
-            bare = m.group(2).strip().lower() == "at"
-            out.append(("email", m.start(), m.end(), "at" if bare else "@", not bare))
+            sign = m.group(2).strip()
+            plain = (sign == "@" or sign[0] in "([{<") and " " not in m.group(3)
+            out.append(("email", m.start(), m.end(), "@" if sign == "@" else sign.lower(), plain))
     if _ADDRESS_HINT.search(text):
         for m in _ADDRESS.finditer(text):
             if _CAPITAL.search(m.group()):
-                out.append(("address", m.start(), m.end(), "street", True))
+                word = _ADDRESS_HINT.search(m.group())
+                out.append(("address", m.start(), m.end(), word.group().lower().rstrip(".") if word else "", bool(_FULL_ADDRESS.search(m.group()))))
     for m in _STREET_EN.finditer(text):
-        out.append(("address", m.start(), m.end(), "street", True))
+        last = m.group().split(",")[0].split()[-1].rstrip(".").lower()
+        out.append(("address", m.start(), m.end(), last, last in ("street", "avenue", "road", "lane")))
     taken = [(s, e) for _, s, e, _, _ in out]
     free = lambda s, e: all(e <= a or s >= b for a, b in taken)
     numbers = [x for x in _numbers(text) if free(x[1], x[2])]
     names = []
     for s, e, form, seed in _names(text):
+        form = form if form in (ANY, "initials") else _given_stem(form)
         if free(s, e) and not _ADDRESS_HINT.search(text[max(0, s - 14) : s].rsplit("\n", 1)[-1]):
             names.append(("name", s, e, form, seed))
     return out + numbers + names
@@ -323,9 +384,14 @@ def scan(text: str) -> list[tuple]:
 _CANDIDATE = "doc_id long, kind string, start_pos long, end_pos long, form string, seed boolean, two string, one string, after string"
 
 
-def _scan_task(batches):
+def _scan_task(given: frozenset[str]):
+    return lambda batches: _scanned(batches, given)
+
+
+def _scanned(batches, given: frozenset[str]):
     names = [x.split()[0] for x in _CANDIDATE.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string()]
+    use_names(given)
     for b in batches:
         for lo in range(0, b.num_rows, 2048):
             part = b.slice(lo, 2048)
@@ -338,33 +404,48 @@ def _scan_task(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
 
-def personal_items(documents: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, kind, start_pos, end_pos) of each item, end exclusive.
+def personal_items(documents: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT, names: tuple[str, ...] = SEED_NAMES) -> DataFrame:
+    """(doc_id, kind, start_pos, end_pos) of each item, end exclusive. ``names`` are the given names to start from.
 
     The rounds work on the table of patterns, instances and counts, which pre-aggregation keeps
     small; only the last step goes back to the candidates."""
-    found = spread(documents.select("doc_id", "text").where("text is not null")).mapInArrow(_scan_task, _CANDIDATE)
+    found = spread(documents.select("doc_id", "text").where("text is not null")).mapInArrow(_scan_task(seed_forms(list(names))), _CANDIDATE)
     found = materialise(found, "candidates")
+    return _accepted(found, rounds, trust, support).select("doc_id", "kind", "start_pos", "end_pos")
+
+
+def _accepted(found: DataFrame, rounds: int, trust: float, support: int) -> DataFrame:
+    """The candidates that are seeds or that a trusted pattern or instance accepts."""
     # Nodes: contexts on either side, and instances. An edge is a group of candidates alike in all.
     nodes = ("two", "one", "after", "form")
     edges = materialise(found.groupBy("kind", *nodes).agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds")), "edges")
     state = edges.withColumn("yes", F.col("seeds").cast("double"))
+    before = -1.0
     for _ in range(rounds):
+        total = state.agg(F.coalesce(F.sum("yes"), F.lit(0.0))).first()[0]
+        if total == before:  # the last round accepted nothing new
+            break
+        before = total
         scored = state
         for node in nodes:
             # A pattern that stands with everything proves nothing: trust needs support and a high share.
             score = state.groupBy("kind", node).agg(F.sum("yes").alias("y"), F.sum("n").alias("t")).select("kind", node, (F.col("y") / (F.col("t") + 1)).alias(f"s_{node}"), F.col("t").alias(f"t_{node}"))
             scored = scored.join(score, ["kind", node], "left")
-        ok = lambda node: (F.col(f"t_{node}") >= support) & (F.col(f"s_{node}") >= trust)
-        # Contexts vouch for any candidate; an instance for names only (a number's form is shared by all kinds of numbers).
-        vouched = ok("two") | ok("one") | ((F.col("kind") == "name") & ok("form") & (F.col("form") != "initials"))
+        own = F.when(F.col("kind") == "name", TRUST_NAME).otherwise(trust)
+        ok = lambda node, share=own, least=support: (F.col(f"t_{node}") >= least) & (F.col(f"s_{node}") >= share)
+        shaped, right = F.col("form") != ANY, F.col("after") != "$"
+        by_form = shaped & ok("form") & (F.col("form") != "initials")
+        vouched = (shaped & (ok("two") | ok("one") | (right & ok("after", TRUST_ANY, SUPPORT_ANY)))) | by_form | ok("two", TRUST_ANY, SUPPORT_ANY) | ok("one", TRUST_ANY, SUPPORT_ANY)
         state = materialise(
-            scored.select("kind", *nodes, "n", "seeds", F.when(vouched, F.col("n").cast("double")).otherwise(F.col("seeds").cast("double")).alias("yes")), "graph"
+            scored.select("kind", *nodes, "n", "seeds", F.when(vouched | (F.col("yes") > F.col("seeds")), F.col("n").cast("double")).otherwise(F.col("seeds").cast("double")).alias("yes")), "graph"
         )
     good = state.where("yes > seeds").select("kind", *nodes)
-    accepted = found.where("seed").select("doc_id", "kind", "start_pos", "end_pos")
-    more = found.where("not seed").join(good, ["kind", *nodes], "left_semi").select("doc_id", "kind", "start_pos", "end_pos")
-    return accepted.unionByName(more)
+    more = found.where("not seed").join(good, ["kind", *nodes], "left_semi")
+    # Digits without a shape are candidates of two kinds; of both accepted one stays.
+    either = more.where((F.col("form") == ANY) & F.col("kind").isin("phone", "id_number")).groupBy("doc_id", "start_pos", "end_pos").agg(F.max("kind").alias("kind"))
+    columns = ["doc_id", "kind", "start_pos", "end_pos"]
+    more = more.where(~((F.col("form") == ANY) & F.col("kind").isin("phone", "id_number"))).select(*columns).unionByName(either.select(*columns))
+    return found.where("seed").select(*columns).unionByName(more)
 
 
 def _mask_task(batches):

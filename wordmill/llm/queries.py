@@ -17,6 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("score > 0").select("doc_id", "term")
 
 
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.salience import term_salience
+
+    return term_salience(table(spark, sf_dir, "postings")).select("doc_id", "term", F.round("score", 3).alias("score"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.neardup import duplicate_pairs
 
@@ -119,7 +125,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p7_found, p7_figures, p8_ids, p9_containers, p9_fill, p10_found, p10_texts)
+    for f in (p1_found, p1_scores, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p7_found, p7_figures, p8_ids, p9_containers, p9_fill, p10_found, p10_texts)
 }
 
 _TERM = "replace(lower(trim(nfc_normalize(term), ' ' || chr(9) || chr(10) || chr(13) || chr(160))), 'ё', 'е')"
@@ -134,6 +140,11 @@ often as (
 
 SQL: dict[str, str] = {
     "p1_found": f"with {_COUNTED} select doc_id, term from (select *, count(*) over (partition by term) df from counted) where tf >= 4 and df <= 8",
+    "p1_scores": f"with {_COUNTED}, " + """d as (select doc_id, sum(tf)::double row1 from counted group by 1), t as (select term, sum(tf)::double col1 from counted group by 1), n as (select sum(tf)::double n from counted),
+k as (select doc_id, term, tf::double k11, row1 - tf k12, col1 - tf k21, n - row1 - col1 + tf k22, row1, col1, n - row1 row2, n - col1 col2, n from counted join d using (doc_id) join t using (term), n),
+g as (select *, greatest(0, 2 * (case when k11 > 0 then k11 * ln(k11 * n / (row1 * col1)) else 0 end + case when k12 > 0 then k12 * ln(k12 * n / (row1 * col2)) else 0 end
+  + case when k21 > 0 then k21 * ln(k21 * n / (row2 * col1)) else 0 end + case when k22 > 0 then k22 * ln(k22 * n / (row2 * col2)) else 0 end)) g2 from k)
+select doc_id, term, round(case when k11 * n >= row1 * col1 then g2 else -g2 end, 3) score from g""",
     "p3_found": f"with {_LINES} select doc_id, line_no from lines join often using (source, n)",
     "p5_found": f"with {_COUNTED}, t as (select term, count(*) df from counted group by 1), d as (select count(distinct doc_id) n from counted) "
     "select term, case when df < 3 then 'rare' else 'common' end mark from t, d where df < 3 or df >= 0.25 * n",

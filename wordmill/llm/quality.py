@@ -5,8 +5,10 @@ character classes, word lengths, and function words against others. Their Jensen
 from the prose profile of the nearest language tells lines that no reader could read (noise, code,
 numbers, broken encodings). Profiles are fitted on the lines of the whole collection that end like
 sentences. What is left is put together to sentences across line breaks; text that ends in no
-sentence is list, heading or keywords. A document whose running sentences aren't the bulk of it (less than
-``PROSE_SHARE`` of its characters) gets the structural profile nearest to its mix of line kinds.
+sentence is list, heading or keywords. That gives each document a distribution of its characters over kinds
+of text. Structural profiles, one for each kind, are fitted on the distributions of the whole
+collection (rounds of nearest profile and mean), and a document is of the profile with the least
+Jensen-Shannon divergence from its distribution: prose, or one of those that aren't.
 
 Defined results: null, empty and blank texts have zeros, the profile ``empty`` and are no cases; a
 repeated row is a document of its own; languages come from the text, not from ``lang``; extra
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.llm.chunks import ChunkMemo
-from wordmill.llm.sitelines import repeated_lines
-from wordmill.session import spread
+from wordmill.llm.sitelines import repeated_lines, sent_lines
+from wordmill.session import materialise, spread
 
 #: Layout of a chunk's measures.
 CHARS = ("vowel_ru", "consonant_ru", "vowel_en", "consonant_en", "letter_other", "digit", "stop", "comma", "mark", "symbol")
@@ -36,7 +38,10 @@ BLOCKS = ((slice(0, _N_CHARS), 0.6), (slice(_N_CHARS, _WORDS), 0.2), (slice(_WOR
 #: Pseudo-counts of the profile that a line's own counts are mixed with, so short lines aren't judged by chance.
 PRIOR = (30.0, 6.0, 12.0)
 LINE_DIVERGENCE = 0.075
-PROSE_SHARE = 0.4
+#: Rounds that profiles are fitted in, and the share of other kinds that each profile keeps.
+FIT_ROUNDS, SMOOTH = 2, 0.02
+#: A text of so few lines and words that isn't alien is brief, not a list.
+BRIEF_LINES, BRIEF_WORDS = 2, 25
 #: Share of repeated runs of three words from which a text is repetition.
 REPEATED_SHARE = 0.5
 KINDS = ("prose", "list", "table", "numbers", "code", "garbled", "repetition")
@@ -234,74 +239,123 @@ def _repeated_phrases(words: list[str]) -> float:
     return 1 - len(set(runs)) / len(runs) if len(runs) > 8 else 0.0
 
 
-_PROTOTYPES = np.full((len(KINDS), len(KINDS)), 0.02) + np.eye(len(KINDS)) * (1 - 0.02 * len(KINDS))
-_SCHEMA = "doc_id long, n_chars long, n_words long, mean_word_len double, symbol_share double, end_share double, common_share double, repeated_share double, divergence double, prose_share double, profile string, is_prose boolean"
+_STATS = "doc_id long, n_chars long, n_words long, mean_word_len double, symbol_share double, end_share double, common_share double, repeated_share double, divergence double, prose_share double, brief boolean, mix array<double>"
+_STAT_TYPES = [pa.int64()] * 3 + [pa.float64()] * 7 + [pa.bool_(), pa.list_(pa.float64())]
+_SCHEMA = _STATS.replace("brief boolean, mix array<double>", "profile string, is_prose boolean")
 
 
-def _judge_task(common: frozenset[str], profiles: np.ndarray):
+def _judge_task(common: frozenset[str], profiles: np.ndarray, sent):
+    """The third column is the source where frequent lines were sent, else the numbers of the lines to leave out."""
+
     def run(batches):
         measure = _measurer(common)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                ids, texts, drops = (part.column(k).to_pylist() for k in range(3))
+                ids, texts, marks = (part.column(k).to_pylist() for k in range(3))
                 flat: list[str] = []
                 spans = []
-                for t, drop in zip(texts, drops):
+                for t, mark in zip(texts, marks):
                     at = len(flat)
                     if t:
-                        gone = set(drop or ())
-                        flat += [x.strip() for k, x in enumerate(t.split("\n"), 1) if k not in gone and x.strip()]
+                        lines = t.split("\n")
+                        gone = sent.value.recurring(mark, lines) if sent is not None else set(mark or ())
+                        flat += [x.strip() for k, x in enumerate(lines, 1) if k not in gone and x.strip()]
                         if len(flat) == at:  # nothing but recurring lines: judge them
-                            flat += [x.strip() for x in t.split("\n") if x.strip()]
+                            flat += [x.strip() for x in lines if x.strip()]
                     spans.append((at, len(flat)))
                 m = measure.lines(flat)
                 div = divergence(m, profiles) if len(flat) and profiles.any() else np.zeros(len(flat))
-                rows = []
-                for i, (a, z) in zip(ids, spans):
-                    rows.append(_row(i, flat[a:z], m[a:z], div[a:z], profiles))
-                cols = list(zip(*rows))
-                kinds = [pa.int64()] * 3 + [pa.float64()] * 7 + [pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in _SCHEMA.split(", ")])
+                cols = list(zip(*(_row(i, flat[a:z], m[a:z], div[a:z], profiles) for i, (a, z) in zip(ids, spans))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STAT_TYPES)], [x.split()[0] for x in _STATS.split(", ")])
 
     return run
 
 
 def _row(doc_id, lines: list[str], m: np.ndarray, div: np.ndarray, profiles: np.ndarray) -> tuple:
     if not lines:
-        return (doc_id, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "empty", True)
+        return (doc_id, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False, None)
     total = m.sum(0)
     n_chars, n_words = total[:_N_CHARS].sum(), total[_WORDS]
     alien = div > LINE_DIVERGENCE
     chars = judge(lines, m, alien)
-    words = " ".join(lines).lower().split()
-    repeated = _repeated_phrases(words)
+    repeated = _repeated_phrases(" ".join(lines).lower().split())
     if repeated > REPEATED_SHARE:
         chars["repetition"] += chars["prose"] + chars["list"]
         chars["prose"] = chars["list"] = 0
     mix = np.array([chars[k] for k in KINDS], float)
     mix /= max(1.0, mix.sum())
-    prose = mix[0]
-    # A heading or a line on its own is brief, not a list.
-    brief = len(lines) <= 2 and n_words < 25 and not alien.any() and mix[1] + mix[0] > 0.9
-    is_prose = bool(prose >= PROSE_SHARE or brief)
-    if is_prose:
-        profile = "prose"
-    else:
-        p = mix.copy()
-        p[0] = 0
-        p = p / p.sum() if p.sum() else p
-        profile = KINDS[1 + int(np.argmin([js_divergence(p[None], q)[0] for q in _PROTOTYPES[1:]]))]
+    brief = bool(len(lines) <= BRIEF_LINES and n_words < BRIEF_WORDS and not alien.any() and mix[1] + mix[0] > 0.9)
     whole = float(divergence(total[None], profiles)[0]) if profiles.any() else 0.0
     ends = sum(len(x) for x in lines if _END.search(x)) / max(1, sum(map(len, lines)))
-    return (doc_id, int(n_chars), int(n_words), float(total[_WORDS + 3] / max(1, n_words)), float((total[5] + total[9]) / max(1, n_chars)), ends, float(total[_WORDS + 1] / max(1, n_words)), repeated, whole, float(prose), profile, is_prose)
+    return (doc_id, int(n_chars), int(n_words), float(total[_WORDS + 3] / max(1, n_words)), float((total[5] + total[9]) / max(1, n_chars)), ends, float(total[_WORDS + 1] / max(1, n_words)), repeated, whole, float(mix[0]), brief, mix.tolist())
+
+
+def nearest(mixes: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
+    """The structural profile with the least divergence from each distribution."""
+    return np.argmin(np.stack([js_divergence(mixes, q) for q in prototypes], 1), 1) if len(mixes) else np.zeros(0, int)
+
+
+def _smooth(p: np.ndarray) -> np.ndarray:
+    return p * (1 - SMOOTH * len(KINDS)) + SMOOTH
+
+
+def _mixes(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(KINDS)) if len(column) else np.zeros((0, len(KINDS)))
+
+
+def fitted_profiles(stats: DataFrame, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """A distribution over kinds for each structural profile, from all documents; one row of sums for
+    each kind comes to the driver. A profile that no document is nearest to stays as it began."""
+    prototypes = _smooth(np.eye(len(KINDS)))
+
+    def sums(prototypes: np.ndarray):
+        def run(batches):
+            total = np.zeros((len(KINDS), len(KINDS)))
+            for b in batches:
+                m = _mixes(b.column(0))
+                np.add.at(total, nearest(m, prototypes), m)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(KINDS), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], ["profile", "sums"])
+
+        return run
+
+    for _ in range(rounds):
+        parts = stats.where("mix is not null").select("mix").mapInArrow(sums(prototypes), "profile int, sums array<double>")
+        total = np.zeros((len(KINDS), len(KINDS)))
+        for r in parts.select("profile", F.posexplode("sums").alias("k", "v")).groupBy("profile", "k").agg(F.sum("v").alias("v")).collect():
+            total[r["profile"], r["k"]] = r["v"]
+        n = total.sum(1, keepdims=True)
+        prototypes = np.where(n > 0, _smooth(total / np.maximum(n, 1e-9)), prototypes)
+    return prototypes
+
+
+def _assign_task(prototypes: np.ndarray):
+    def run(batches):
+        for b in batches:
+            keep = b.num_columns - 2
+            mixes = b.column(keep + 1)
+            at = np.flatnonzero(mixes.is_valid().to_numpy(zero_copy_only=False))
+            names = np.full(b.num_rows, "empty", object)
+            names[at] = np.array(KINDS, object)[nearest(_mixes(mixes.drop_null()), prototypes)]
+            names[b.column(keep).to_numpy(zero_copy_only=False)] = "prose"
+            prose = (names == "prose") | (names == "empty")
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(names, pa.string()), pa.array(prose)], [x.split()[0] for x in _SCHEMA.split(", ")])
+
+    return run
 
 
 def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """One row for each document: counts and shares over its text without recurring lines, the share
-    of running sentences, the structural profile and whether it is prose."""
+    of running sentences, the structural profile and whether it is prose.
+
+    Frequent lines go to the tasks, so texts aren't shuffled; of too many, line numbers are joined."""
     common = frozenset(r[0].lower().replace("ё", "е") for r in common_words.select("word").where("word is not null").collect())
     profiles = prose_profiles(documents, common)
-    drop = repeated_lines(documents).groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
-    joined = spread(documents.select("doc_id", "text")).join(drop, "doc_id", "left").select("doc_id", "text", "drop")
-    return joined.mapInArrow(_judge_task(common, profiles), _SCHEMA)
+    sent = sent_lines(documents)
+    if sent is not None:
+        rows = spread(documents.select("doc_id", "text", "source"))
+    else:
+        drop = repeated_lines(documents).groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
+        rows = spread(documents.select("doc_id", "text")).join(drop, "doc_id", "left").select("doc_id", "text", "drop")
+    stats = materialise(rows.mapInArrow(_judge_task(common, profiles, sent), _STATS), "quality")
+    return stats.mapInArrow(_assign_task(fitted_profiles(stats)), _SCHEMA)

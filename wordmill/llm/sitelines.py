@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from wordmill.session import materialise, spread
 
+#: Frequent lines that are sent to all tasks (two hashes each); of more, the documents' lines are joined with them.
+SENT_LINES = 200_000
+
 _DIGITS = re.compile(r"\d+")
 
 
@@ -91,8 +94,58 @@ def repeated_lines(documents: DataFrame, min_docs: int = 5, min_share: float = 0
     return lines.join(often, cond).select("doc_id", "line_no", "documents")
 
 
-def without_repeated_lines(documents: DataFrame, min_docs: int = 5, min_share: float = 0.05) -> DataFrame:
-    """(doc_id, text, removed): every document, its text without recurring lines. Null stays null."""
+class Sent:
+    """Frequent lines of every source in the memory of a task."""
+
+    def __init__(self, rows: list):
+        self.of: dict = {}
+        for r in rows:
+            self.of.setdefault(r["source"], set()).add(r["h1"].to_bytes(8, "little", signed=True) + r["h2"].to_bytes(8, "little", signed=True))
+
+    def recurring(self, source: str | None, lines: list[str]) -> set[int]:
+        """Numbers, from 1, of the lines that recur."""
+        import xxhash
+
+        known = self.of.get(source)
+        if not known:
+            return set()
+        h = xxhash.xxh3_128_intdigest
+        return {k for k, line in enumerate(lines, 1) if (n := normal_line(line)) and h(n.encode("utf-8", "surrogatepass")).to_bytes(16, "little") in known}
+
+
+def sent_lines(documents: DataFrame, min_docs: int = 5, min_share: float = 0.05, most: int = SENT_LINES):
+    """The frequent lines as a broadcast, or None if they are more than ``most``."""
+    often = materialise(frequent_lines(documents, min_docs, min_share), "often")
+    rows = often.limit(most + 1).collect()
+    return documents.sparkSession.sparkContext.broadcast(Sent(rows)) if len(rows) <= most else None
+
+
+def _rebuild(sent):
+    def run(batches):
+        for b in batches:
+            texts, removed = [], []
+            for source, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                gone: set[int] = set()
+                if text is not None:
+                    lines = text.split("\n")
+                    gone = sent.value.recurring(source, lines)
+                    text = "\n".join(x for k, x in enumerate(lines, 1) if k not in gone) if gone else text
+                texts.append(text)
+                removed.append(len(gone))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["doc_id", "text", "removed"])
+
+    return run
+
+
+def without_repeated_lines(documents: DataFrame, min_docs: int = 5, min_share: float = 0.05, most: int = SENT_LINES) -> DataFrame:
+    """(doc_id, text, removed): every document, its text without recurring lines. Null stays null.
+
+    Frequent lines are few beside the texts, so they go to the tasks and texts are rebuilt where they are
+    read; only of more than ``most`` the line numbers are joined back instead."""
+    sent = sent_lines(documents, min_docs, min_share, most)
+    if sent is not None:
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+        return spread(rows).mapInArrow(_rebuild(sent), "doc_id long, text string, removed int")
     drop = repeated_lines(documents, min_docs, min_share).groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("drop"), i + 1))
     cleaned = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -305,7 +305,7 @@ def _names(text: str):
         j = i + 1
         if not k & 1 and j + 1 < n and len(words[i][2]) > 2 and kinds[j + 1] & 12 == 12 and words[i][2].lower() not in _NO_NAME:
             # The same around a given name that isn't known: the patronymic or initial tells.
-            if (kinds[j] & 2 and not k & 2 and near(i, j) and near(j, j + 1)) or (initial(j) and not k & 4 and near(i, j) and near(j, j + 1, True) and inside(i)):
+            if "\n" not in text[words[i][1] : words[j][0]] and ((kinds[j] & 2 and not k & 2 and near(i, j) and near(j, j + 1)) or (initial(j) and not k & 4 and near(i, j) and near(j, j + 1, True) and inside(i))):
                 yield words[i][0], words[j + 1][1], words[i][2], True
                 i = j + 2
                 continue
@@ -429,7 +429,7 @@ def _accepted(found: DataFrame, rounds: int, trust: float, support: int) -> Data
         scored = state
         for node in nodes:
             # A pattern that stands with everything proves nothing: trust needs support and a high share.
-            score = state.groupBy("kind", node).agg(F.sum("yes").alias("y"), F.sum("n").alias("t")).select("kind", node, (F.col("y") / (F.col("t") + 1)).alias(f"s_{node}"), F.col("t").alias(f"t_{node}"))
+            score = state.groupBy("kind", node).agg(F.sum("yes").alias("y"), F.sum("n").alias("t")).select("kind", node, (F.col("y") / (F.col("t") + 1)).alias(f"s_{node}"), F.col("t").alias(f"t_{node}")).where(F.col(f"t_{node}") >= support)
             scored = scored.join(score, ["kind", node], "left")
         own = F.when(F.col("kind") == "name", TRUST_NAME).otherwise(trust)
         ok = lambda node, share=own, least=support: (F.col(f"t_{node}") >= least) & (F.col(f"s_{node}") >= share)

@@ -138,9 +138,9 @@ def test_whole_frontier_queries(spark, tmp_path):
     frontier = spark.createDataFrame([(*r, None, None, None, None) for r in rows], fr.SCHEMA)
     frontier.write.parquet(f"{tmp_path}/frontier.parquet")
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert [(r.url_norm, r.next_fetch_at) for r in run("frontier_due_whole")] == [("y", 4)]
-    assert sorted((r.url_norm, r.status) for r in run("frontier_lease_whole")) == [("x", "in_progress"), ("y", "in_progress"), ("z", "done")]
-    assert sorted((r.url_norm, r.status, r.last_error) for r in run("frontier_finish_whole")) == [("x", "pending", "fetch_failed"), ("y", "pending", None), ("z", "done", None)]
+    assert [(r.url_norm, r.next_fetch_at) for r in run("frontier_due")] == [("y", 4)]
+    assert sorted((r.url_norm, r.status) for r in run("frontier_lease")) == [("x", "in_progress"), ("y", "in_progress"), ("z", "done")]
+    assert sorted((r.url_norm, r.status, r.last_error) for r in run("frontier_finish")) == [("x", "pending", "fetch_failed"), ("y", "pending", None), ("z", "done", None)]
 
 
 def test_errors_keep_their_text(spark, sources):
@@ -148,3 +148,12 @@ def test_errors_keep_their_text(spark, sources):
     got = spark.createDataFrame([("https://a.example/n", "x"), ("https://a.example/n", None), ("https://a.example/m", "boom"), ("https://a.example/m", "boom")], "url_norm string, error string")
     r = {x.url_norm[-1]: (x.next_at, x.error, x.save) for x in fr.outcomes(leased, got, sources, RobotConfig(), 0).collect()}
     assert r == {"n": (86400, None, True), "m": (600, "boom", False)}
+
+
+def test_new_urls_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "2024-01-01 00:00:00"), ("x", "2024-01-01 01:00:00"), ("y", "2024-01-01 02:00:00")], "url_norm string, t string").selectExpr("url_norm", "cast(t as timestamp) fetch_ts")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = fr.new_urls(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("new_urls").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.url_norm for r in spark.table("new_urls").collect()) == ["x", "y"]

@@ -90,3 +90,42 @@ def test_packed_blocks(spark):
     rows = [("t", d, d % 7 + 1) for d in range(1, 200_000, 999)] + [("u", 5, 1)]
     p = spark.createDataFrame(rows, "term string, doc_id long, tf long")
     assert sorted(map(tuple, codec.unpacked(codec.packed_blocks(p)).collect())) == sorted(rows)
+
+
+def test_large_dictionary_takes_the_other_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(["общее"] * (k % 90 + 1) + [f"слово{chr(1072 + k % 30)}", "редкое"])) for k in range(1, 200)], "doc_id long, text string")
+    one = {r.doc_id: round(r.norm, 9) for r in index.index_of(docs).docs.collect()}
+    monkeypatch.setattr(index, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(index, "HOT_DF", 50)
+    assert one == {r.doc_id: round(r.norm, 9) for r in index.index_of(docs).docs.collect()}
+
+
+def test_gaps_over_ranges(spark):
+    rows = [("a", d, 1) for d in range(5, 4000, 7)] + [("b", 9, 2), ("c", 1, 1), ("c", 8, 1)]
+    got = {(r.term, r.doc_id): r.gap for r in index.posting_gaps(spark.createDataFrame(rows, "term string, doc_id long, tf long").repartition(7)).collect()}
+    assert got == {("a", d): 7 if d > 5 else 5 for d in range(5, 4000, 7)} | {("b", 9): 9, ("c", 1): 1, ("c", 8): 7}
+
+
+def test_batch_search(spark):
+    ix = index.index_of(spark.createDataFrame([(1, "школа город"), (2, "школа школа мост"), (3, "мост"), (4, "!!")], "doc_id long, text string"))
+    texts = ["школа", "школа && !мост", "!школа", "мост школа", "", None, "и", "мост || город", "!и", "нет такого"]
+    got = {}
+    for r in rank.batch_search(ix, spark.createDataFrame(list(enumerate(texts)), "qid long, query string")).orderBy("qid", "place").collect():
+        got.setdefault(r.qid, []).append((r.doc_id, r.score))
+    for k, q in enumerate(texts):
+        want = [(r.doc_id, getattr(r, "score", None)) for r in rank.search(ix, q or "").collect()]
+        assert got.get(k, []) == want, q
+    assert rank.batch_search(ix, spark.createDataFrame([], "qid long, query string")).count() == 0
+    assert rank.batch_search(ix, spark.createDataFrame([(7, "!школа")], "qid long, query string"), limit=1).count() == 1
+
+
+def test_codec_of_many_lists():
+    import numpy as np
+
+    lists = [[(3, 1), (300, 200)], [], [(1, 1)], [(2**40, 5), (2**40 + 1, 2**20)]]
+    flat = np.array([p for x in lists for p in x], np.int64).reshape(-1, 2)
+    at = np.cumsum([0, *map(len, lists)])
+    data, ends = codec.encode_lists(flat[:, 0], flat[:, 1], at)
+    assert [data[a:b] for a, b in zip(ends[:-1], ends[1:])] == [codec.encode(x) for x in lists]
+    docs, tfs, offsets = codec.decode_lists(np.frombuffer(data, np.uint8), ends)
+    assert np.column_stack([docs, tfs]).tolist() == flat.tolist() and offsets.tolist() == at.tolist()

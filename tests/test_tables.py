@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from wordmill.functions import urls as U
@@ -94,3 +95,93 @@ def test_bench_summary(spark):
     runs = [("q", "ranked", 1, float(k), 5, 0.1, 0.2, 0.3) for k in range(1, 11)] + [("q", "boolean", 0, 99.0, 0, None, None, None)]
     r = bench.summary(spark.createDataFrame(runs, bench.RUNS)).first()
     assert (r.runs, r.good, r["mode"], r.ms_min, r.ms_median, r.ms_p95, r.ms_max) == (11, 10, "ranked", 1.0, 5.5, 9.0, 10.0)
+
+
+def test_line_ends_in_quotes():
+    assert tables.csv_field('a,"b\nc",d', 1) == "b" and tables.csv_field('a,"b\nc",d', 2) is None
+
+
+def test_detected_charsets(spark):
+    text = "Вчера город открыл новый парк у реки, и жители пришли на праздник."
+    for name in ("cp1251", "koi8-r", "cp866", "utf-8", "utf-16", "utf-8-sig"):
+        assert text.encode(name).decode(U.detected_charset(text.encode(name))) == text, name
+    assert U.detected_charset(b"") == "utf-8" and U.detected_charset("я".encode()[:1]) == "utf-8"
+    rows = [(text.encode("cp1251"), "text/html"), (text.encode("koi8-r"), "text/html; charset=nope")]
+    assert [r.x for r in spark.createDataFrame(rows, "b binary, c string").select(U.decode_bytes(F.col("b"), F.col("c")).alias("x")).collect()] == [text, text]
+
+
+LOGIC = "concurrency: 2\n  request_delay_sec: 0.5\n  revisit_after_sec: 10\n  lease_sec: 20\n  error_backoff_sec: 30\n  reset_stuck_after_sec: 40\n  max_depth: 5\n  run_forever: false\n"
+
+
+def test_configurations(spark, tmp_path):
+    pytest.importorskip("yaml")
+    robot = tmp_path / "robot.yaml"
+    robot.write_text(f"db: {{uri: u, database: d, documents_collection: c, frontier_collection: f}}\nlogic:\n  {LOGIC}crawl_config_path: x\n")
+    assert tables.load_robot(str(robot)) == tables.RobotConfig(5, 10, 30, 40, 20, 2, 0.5, False)
+    robot.write_text(f"db: {{uri: u}}\nlogic:\n  {LOGIC.replace('  lease_sec: 20', '')}")
+    with pytest.raises(ValueError, match="crawl_config_path.*db.database.*logic.lease_sec"):
+        tables.load_robot(str(robot))
+    sources = tmp_path / "sources.yaml"
+    sources.write_text("sources:\n- {id: a, name: A, base_url: 'https://a', start_urls: ['https://a/'], allowed_domains: [a], crawl_policy: {max_depth: 3, max_pages: 7}}\n")
+    rows = tables.sources_table(spark, tables.load_sources(str(sources))).collect()
+    assert [(r.id, r.ord, r.allow_regex, r.max_depth, r.max_pages) for r in rows] == [("a", 0, [], 3, 7)]
+    sources.write_text("sources:\n- {id: a, name: A}\n")
+    with pytest.raises(KeyError):
+        tables.load_sources(str(sources))
+
+
+def test_resume_and_arrival_by_content(spark):
+    m = spark.createDataFrame([(3, "s", "u1", "u1?x", " ab "), (9, "s", None, "", ""), (None, "t", "u2", None, None)], "doc_id long, source_id string, url string, final_url string, sha256_text string")
+    top, counts, urls, hashes = tables.resume_state(m)
+    assert top.first()[0] == 9 and {r.source_id: r.n for r in counts.collect()} == {"s": 2, "t": 1}
+    assert {r.url for r in urls.collect()} == {"u1", "u2"} and [r.sha256_text for r in hashes.collect()] == ["ab"]
+
+
+def test_titles_of_meta(spark):
+    from wordmill.operators import index
+
+    docs = spark.createDataFrame([(1, "Первая строка\nтекст школы"), (2, "Вторая строка"), (3, "Третья")], "doc_id long, text string")
+    metas = spark.createDataFrame([(1, '{"doc_id": 1, "title": "Из меты"}'), (2, '{"url": "x"}'), (3, '{"title": " "}')], "doc_id long, meta string")
+    assert {r.doc_id: r.title for r in index.index_of(tables.with_titles(docs, metas)).docs.collect()} == {1: "Из меты", 2: "Вторая строка", 3: "Третья"}
+
+
+PAGES = "doc_id long, source_id string, url string, final_url string, fetch_ts timestamp, status int, content_type string, encoding string, bytes_len long, html string"
+
+
+def test_storing_and_extraction(spark, tmp_path):
+    import hashlib
+    import json
+
+    root = str(tmp_path / "data")
+    pages = spark.createDataFrame([(1, "s", "u", "f", None, 200, "text/html", "utf-8", 9, '<p>Мост, "закрыт"'), (2, "s", "u", "f", None, 200, "text/html", None, 0, None)], PAGES)
+    corpus.store(pages.where("doc_id = 1"), root)
+    corpus.store(pages.where("doc_id = 2"), root)
+    m = {r.doc_id: r for r in tables.read_manifest(spark, f"{root}/manifest").collect()}
+    assert (m[1].raw_path, m[1].text_path, m[1].text_len, m[1].sha256_text) == ("raw_html/1.html", "text/1.txt", 14, hashlib.sha256('Мост, "закрыт"'.encode()).hexdigest())
+    assert m[2].text_len == 0 and len(m) == 2
+    meta = json.loads(spark.read.parquet(f"{root}/meta").where("doc_id = 2").first().meta)
+    assert meta["encoding_detected"] is None and meta["raw_path"] == "raw_html/2.html" and spark.read.parquet(f"{root}/raw_html").count() == 2
+    assert corpus.stored(pages, extract_text=False).where("text_path = '' and text_len = 0").count() == 2
+
+    manifest = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,), (4,)], "doc_id long")
+    raws = spark.createDataFrame([(1, "<p>a"), (3, "<p>b"), (4, "<p>c")], "doc_id long, html string")
+    texts = spark.createDataFrame([(1, "old"), (4, "")], "doc_id long, text string")
+    new, counts = corpus.extraction(manifest, raws, texts)
+    assert sorted(map(tuple, new.collect())) == [(3, "b"), (4, "c")] and tuple(counts.first()) == (2, 2, 1)
+
+
+def test_limits_of_the_corpus(spark):
+    docs = spark.createDataFrame([(3, "раз два"), (1, "три " * 9), (0, "x y")], "doc_id long, text string")
+    assert {r.doc_id for r in lexstats.corpus_tokens(docs, limit_docs=1).collect()} == {1}
+    assert {r.doc_id for r in lexstats.corpus_tokens(docs, max_file_bytes=20).collect()} == {3}
+    assert [r.hits for r in bench.score_summary(spark.createDataFrame([("q", 0.5), ("q", 0.1)], "query string, score double")).collect()] == [2]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from wordmill.session import shared_dir
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        shared_dir(unset)

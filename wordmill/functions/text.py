@@ -152,14 +152,22 @@ def title_of_json(meta: Column) -> Column:
     return F.when(meta.rlike('(?s)^(?:(?!"title").)*"title"[ \\t\\r\\n:]*"(?:\\\\.|[^"\\\\])*"'), found)
 
 
-def clean_title(title: Column, max_len: int = 80) -> Column:
-    """A title for reports: white space collapsed, menu rests and trailing boilerplate cut, shortened."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(title, " ", " "), "\\s+", " "))
-    for cut in (" Температура", " НУ И ПОГОДА", " Меню Новости", " Новости "):
-        t = F.when(F.lower(t).startswith("новости") & t.contains(cut), F.trim(F.substring_index(t, cut, 1))).otherwise(t)
-    t = F.trim(F.substring_index(t, "»", 1))
-    for tail in ("Ковровские вести", "Размер шрифта:", "Межбуквенный интервал:", "Мы используем cookie"):
-        t = F.trim(F.regexp_replace(t, f"\\s*{tail}.*$", ""))
+#: What a site's pages put behind a title, and where a menu that got into it ends.
+TITLE_TAILS = ("Ковровские вести", "Размер шрифта:", "Межбуквенный интервал:", "Мы используем cookie")
+TITLE_MENUS = {"новости": (" Температура", " НУ И ПОГОДА", " Меню Новости", " Новости ")}
+
+
+def clean_title(title: Column, max_len: int = 80, tails: tuple[str, ...] = TITLE_TAILS, menus: dict[str, tuple[str, ...]] = TITLE_MENUS, close: str = "»") -> Column:
+    """A title for reports: white space to one blank; of a title that begins with a menu's word only
+    what stands before the first of its marks; nothing from a quotation's end or a tail's mark on; at
+    most ``max_len`` characters, the last three dots where it is cut."""
+    t = F.trim(F.regexp_replace(title, "[\\s\u00a0]+", " "))
+    for word, marks in menus.items():
+        first = F.array_min(F.array(*(F.when(F.instr(t, m) > 0, F.instr(t, m)) for m in marks)))
+        t = F.when(F.lower(t).startswith(word) & first.isNotNull(), F.substring(t, F.lit(1), first - 1)).otherwise(t)
+    ends = [F.when(F.instr(t, m) > 0, F.instr(t, m)) for m in (close, *tails)]
+    first = F.array_min(F.array(*ends))
+    t = F.trim(F.when(first.isNotNull(), F.substring(t, F.lit(1), first - 1)).otherwise(t))
     return F.when(F.char_length(t) > max_len, F.concat(F.rtrim(F.substring(t, 1, max_len - 3)), F.lit("..."))).otherwise(t)
 
 

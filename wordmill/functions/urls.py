@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit, urlunsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _normal(url: str | None, drop_query: bool, drop_fragment: bool) -> str | None:
-    if url is None:
-        return None
-    try:
-        u = urlsplit(url)
-    except ValueError:
-        return url
-    return urlunsplit((u.scheme, u.netloc.lower(), u.path, "" if drop_query else u.query, "" if drop_fragment else u.fragment))
-
-
 def normal_url(url: Column, drop_query: bool = True, drop_fragment: bool = True) -> Column:
     """Lower-case authority; query and fragment dropped if asked for. Stays in the JVM."""
     u = F.regexp_replace(url, "#.*$" if drop_fragment else "#$", "")
@@ -116,23 +106,71 @@ def html_links(html: Column, base: Column) -> Column:
     return _links(html, base)
 
 
+#: The commonest letters of Russian, whose share tells its one-byte encodings apart.
+_COMMON = frozenset("оеаинтсрвл")
+_ONE_BYTE = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic")
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def detected_charset(body: bytes) -> str:
+    """The encoding that bytes are in: by their mark, UTF-8 if they are valid, else the Russian one-byte
+    encoding in which common lower-case letters are most of what isn't ASCII; UTF-8 if none fits."""
+    for mark, name in _MARKS:
+        if body.startswith(mark):
+            return name
+    try:
+        body.decode("utf-8")
+        return "utf-8"
+    except UnicodeDecodeError as e:
+        if e.reason == "unexpected end of data" and e.start > 0:  # only the last character is cut
+            return "utf-8"
+    high = bytes(b for b in body if b > 127)
+    best, share = "utf-8", 0.3
+    for name in _ONE_BYTE:
+        text = high.decode(name, "replace")
+        n = sum(c in _COMMON for c in text) / max(1, len(text))
+        if n > share:
+            best, share = name, n
+    return best
+
+
 def decode_bytes(body: Column, content_type: Column) -> Column:
-    """Bytes to text by the ``charset`` parameter, else UTF-8; wrong bytes are replaced, an unknown charset is UTF-8."""
+    """Bytes to text by the ``charset`` parameter, without one or with an unknown one by what the
+    bytes look like; wrong bytes are replaced."""
 
     @F.pandas_udf("string")
     def decode(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
         def one(b, c):
             if b is None:
                 return None
+            b = bytes(b)
             try:
-                return bytes(b).decode(c or "utf-8", "replace")
+                return b.decode(c or detected_charset(b), "replace")
             except LookupError:
-                return bytes(b).decode("utf-8", "replace")
+                return b.decode(detected_charset(b), "replace")
 
         return pd.Series([one(b, c) for b, c in zip(bodies, charsets)])
 
     return decode(body, charset_of(content_type))
 
 
+def encode_text(text: Column, content_type: Column) -> Column:
+    """Text to bytes by the ``charset`` parameter; UTF-8 without one, or where it lacks a character."""
+
+    @F.pandas_udf("binary")
+    def encode(texts: pd.Series, charsets: pd.Series) -> pd.Series:
+        def one(t, c):
+            if t is None:
+                return None
+            try:
+                return t.encode(c or "utf-8")
+            except (LookupError, UnicodeEncodeError):
+                return t.encode("utf-8", "replace")
+
+        return pd.Series([one(t, c) for t, c in zip(texts, charsets)])
+
+    return encode(text, charset_of(content_type))
+
+
 def charset_of(content_type: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(F.lower(content_type), "charset=([^;]+)", 1), "[\"']", ""))

@@ -88,9 +88,58 @@ def page_caps(pages: DataFrame, sources: DataFrame, order: tuple[str, ...]) -> D
     return first.where("at <= max_pages").drop("at", "max_pages")
 
 
-def store(pages: DataFrame, path: str) -> None:
-    """Appends pages, partitioned by source."""
-    pages.write.mode("append").partitionBy("source_id").parquet(path)
+def stored(pages: DataFrame, extract_text: bool = True) -> DataFrame:
+    """Pages with what is stored of each: ``text`` of its HTML, paths, content hash, length and ``meta`` as
+    JSON. ``pages`` is (doc_id, source_id, url, final_url, fetch_ts, status, content_type, encoding,
+    bytes_len, html). Without extraction the text isn't kept: path empty, length 0, the hash is still its."""
+    from wordmill.functions.urls import html_text
+
+    path = lambda kind, end: F.concat(F.lit(f"{kind}/"), F.col("doc_id").cast("string"), F.lit(end))
+    rows = pages.withColumn("text", F.coalesce(html_text(F.col("html")), F.lit("")))
+    rows = rows.withColumns(
+        {
+            "raw_path": path("raw_html", ".html"), "meta_path": path("meta", ".json"), "text_path": path("text", ".txt") if extract_text else F.lit(""),
+            "sha256_text": sha256_hex(F.col("text")), "text_len": (F.char_length("text") if extract_text else F.lit(0)).cast("long"),
+        }
+    )
+    meta = ["doc_id", "source_id", "url", "final_url", "fetch_ts", "status", "content_type", F.col("encoding").alias("encoding_detected"), "bytes_len", "raw_path", "text_path", "sha256_text", "text_len"]
+    return rows.withColumn("meta", F.to_json(F.struct(*meta), {"ignoreNullFields": "false"}))
+
+
+def store(pages: DataFrame, root: str, extract_text: bool = True) -> None:
+    """Appends pages to a collection below ``root``: tables ``raw_html``, ``text`` and ``meta`` keyed by path, and
+    ``manifest`` as CSV with a header. Contents of many pages share files, so hundreds of millions fit."""
+    from wordmill.session import materialise
+    from wordmill.sources.tables import MANIFEST
+
+    rows = materialise(stored(pages, extract_text), "stored")
+    add = lambda df, name: df.write.mode("append").parquet(f"{root}/{name}")
+    add(rows.select("doc_id", F.col("raw_path").alias("path"), "html"), "raw_html")
+    if extract_text:
+        add(rows.select("doc_id", F.col("text_path").alias("path"), "text"), "text")
+    add(rows.select("doc_id", F.col("meta_path").alias("path"), "meta"), "meta")
+    rows.select(*MANIFEST).write.mode("append").option("header", True).option("escape", '"').csv(f"{root}/manifest")
+
+
+def extraction(manifest: DataFrame, raws: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts of manifest rows that have none yet, and what became of all rows.
+
+    (doc_id, text) of pages with HTML and without a stored text that isn't empty, each id once; and (extracted,
+    skipped, missing_raw), rows without an id counting nowhere. ``raws`` is (doc_id, html), ``texts`` (doc_id, text)."""
+    from wordmill.functions.urls import html_text
+
+    rows = manifest.where("doc_id is not null").select("doc_id")
+    had = texts.where("text <> ''").select("doc_id").distinct()
+    html = raws.where("html is not null").groupBy("doc_id").agg(F.max("html").alias("html"))
+    marked = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(had.withColumn("had", F.lit(True)), "doc_id", "left").join(html, "doc_id", "left")
+    new = marked.where("had is null and html is not null").select("doc_id", html_text(F.col("html")).alias("text"))
+    # A repeated row finds the text that the first one wrote, if that isn't empty.
+    has, raw = F.col("had").isNotNull(), F.col("html").isNotNull()
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    counts = marked.agg(
+        total(F.when(~has & raw, 1), "extracted"), total(F.when(has, F.col("n")).when(raw, F.col("n") - 1), "skipped"), total(F.when(~has & ~raw, F.col("n")), "missing_raw")
+    )
+    return new, counts
 
 
 def latest(rows: DataFrame, key: str, by: str) -> DataFrame:

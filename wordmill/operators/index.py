@@ -121,11 +121,20 @@ class Index:
     docs: DataFrame
     n_docs: int
     log_mode: str = "reference"
+    words: DataFrame | None = None
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """Document frequencies of a few terms: a row each comes to the driver."""
+        if self.words is not None:
+            rows = self.words.where(F.col("term").isin(terms)).select("term", "df")
+        else:
+            rows = dictionary(self.postings.where(F.col("term").isin(terms)))
+        return {r["term"]: r["df"] for r in rows.collect()}
 
 
 def read_index(spark, path: str, log_mode: str = "reference") -> Index:
     docs = spark.read.parquet(f"{path}/docs")
-    return Index(spark.read.parquet(f"{path}/postings"), docs, docs.count(), log_mode)
+    return Index(spark.read.parquet(f"{path}/postings"), docs, docs.count(), log_mode, spark.read.parquet(f"{path}/dictionary"))
 
 
 def index_of(documents: DataFrame, options: IndexOptions = DEFAULT) -> Index:
@@ -134,7 +143,7 @@ def index_of(documents: DataFrame, options: IndexOptions = DEFAULT) -> Index:
     posted = materialise(postings(documents, options), "postings")
     n = corpus(documents, options).count()
     words = materialise(dictionary(posted, n, options.log_mode), "dictionary")
-    return Index(posted, documents_table(documents, posted, options, n, words), n, options.log_mode)
+    return Index(posted, documents_table(documents, posted, options, n, words), n, options.log_mode, words)
 
 
 def posting_gaps(postings: DataFrame) -> DataFrame:

@@ -39,6 +39,18 @@ def _index(spark: SparkSession, d: str) -> index.Index:
     return index.index_of(_docs(spark, d))
 
 
+# What must hold whatever the constants of ``functions.text`` are: typed out again, so a slip there shows.
+_SQL_SUFFIXES = "ыми|ими|ого|его|ому|ему|ами|ями|ов|ев|ей|ой|ою|ею|ах|ях|ам|ям|ом|ем|ым|им|ать|ять|еть|оть|уть|ешь|ишь|ете|ите|ают|яют|уют|ют|ут|лся|лась|лись|лось|ия|ий|ый|ое|ее|ая|яя|а|я|о|е|ы|и|у|ю"
+_SQL_STOP = (
+    "'и', 'в', 'не', 'на', 'с', 'по', 'для', 'как', 'из', 'к', 'а', 'то', 'что', 'это', 'он', 'она', 'оно', 'они', 'мы', 'вы', 'я', 'его', 'ее', 'их', 'наш', 'ваш', 'мой', 'твой', 'этот', 'тот', 'такой', 'какой', "
+    "'где', 'когда', 'почему', 'если', 'или', 'но', 'да', 'нет', 'ну', 'вот', 'здесь', 'там', 'тут', 'туда', 'сюда', 'от', 'до', 'под', 'над', 'за', 'перед', 'после', 'во', 'со', 'про', 'через', 'между', 'без', 'о', 'об', 'при', 'у'"
+)
+
+
+def _value(v) -> str:
+    return "null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else str(v)
+
+
 def _quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in sorted(set(words)))
 
@@ -50,14 +62,15 @@ def _log(x: str) -> str:
     return f"(case when {x} > 1 then {k} * 0.693147 + list_sum(list_transform(range(1, 50, 2), lambda odd: case when pow({y}, odd) > 1e-10 then pow({y}, odd) / odd else 0.0 end)) else 0.0 end)"
 
 
-_FROM, _TO = T._UPPER + "ё", T._LOWER[:-1] + "ее"
+_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁё"
+_TO = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяее"
 _FOLD = f"translate(text, '{_FROM}', '{_TO}')"
-_STEM = T.STEM_PATTERN
+_STEM = f"^((?:[а-яё].|[a-z0-9][а-яё]|[a-z0-9]{{2}}.).*?)(?:{_SQL_SUFFIXES})$"
 #: Characters before which fewer bytes stand than a token may have.
 _CAP = f"(case when strlen(w) <= {T.TOKEN_BYTES} then w else left(w, len(list_filter(range(1, length(w) + 1), lambda k: strlen(left(w, k - 1)) < {T.TOKEN_BYTES}))) end)"
 _WITH = f"""with docs as (select doc_id, text, url from documents where doc_id <> 0 and strlen(text) > 0),
 tok as (select doc_id, w, regexp_replace({_CAP}, '{_STEM}', '\\1') term from (select doc_id, unnest(regexp_split_to_array({_FOLD}, '[^a-zа-я]+')) w from docs) where length(w) >= 2),
-kept as (select * from tok where strlen(term) >= 2 and term not in ({_quoted(T.INDEX_STOP_WORDS)})),
+kept as (select * from tok where strlen(term) >= 2 and term not in ({_SQL_STOP})),
 post as (select term, doc_id, count(*) tf from kept group by all),
 n as (select count(*)::double n from docs),
 dict as (select term, count(*) df from post group by 1),
@@ -100,8 +113,12 @@ def _(spark, d):
     return _index(spark, d).docs.select("doc_id", "url", "title")
 
 
+#: Stems of the words asked for, by hand.
+_TERMS = {"школа": "школ", "район": "район", "полиция": "полиц", "суд": "суд", "город": "город", "дело": "дел", "договор": "договор", "новый": "нов", "автобус": "автобус"}
+
+
 def _has(word: str) -> str:
-    return f"(select doc_id from post where term = '{T.query_term_of(word)}')"
+    return f"(select doc_id from post where term = '{_TERMS[word]}')"
 
 
 def _boolean(name: str, q: str, sql: str) -> None:
@@ -132,7 +149,7 @@ def _(spark, d):
 
 
 def _ranked(words: list[str]) -> str:
-    terms = [T.query_term_of(w) for w in words]
+    terms = [_TERMS[w] for w in words]
     every = " intersect ".join(_has(w) for w in dict.fromkeys(words))
     total = " + ".join(f"coalesce(sum(case when term = '{t}' then w end), 0)" for t in terms)
     return f"select doc_id, s / (case when norm > 0 then norm else 1 end) score from (select doc_id, {total} s from w where doc_id in ({every}) group by 1) join norm using (doc_id) where s > 0"
@@ -151,6 +168,18 @@ _ranking("ranked_page", "город", 50, 50)
 _ranking("ranked_one_word", "новый автобус")
 
 
+_BATCH = ["школа район", "новый автобус", "школа && район", "город && !район", "город школа", "и", ""]
+_BATCH_SQL = [
+    f"select {k} qid, doc_id, round(score, 6) score from ({_ranked(q.split())} order by score desc, doc_id limit 50)" for k, q in enumerate(_BATCH) if k in (0, 1, 4)
+] + [f"select {k} qid, doc_id, null::double score from ({sql}) order by doc_id limit 50" for k, sql in ((2, f"{_has('школа')} intersect {_has('район')}"), (3, f"{_has('город')} except {_has('район')}"))]
+
+
+@registered("batch_search", _WITH + " union all ".join(f"(from ({x}))" for x in _BATCH_SQL))
+def _(spark, d):
+    queries = spark.createDataFrame(list(enumerate(_BATCH)), "qid long, query string")
+    return rank.batch_search(_index(spark, d), queries).select(F.col("qid").cast("int").alias("qid"), "doc_id", "score")
+
+
 @registered("ranked_scores", _WITH + f"select doc_id, round(score, 6) score from ({_ranked(['город', 'город', 'школа'])})")
 def _(spark, d):
     return rank.scores(_index(spark, d), "город город школа").select("doc_id", F.round("score", 6).alias("score"))
@@ -277,11 +306,14 @@ def _(spark, d):
 
 @registered(
     "manifest_fix",
-    r"with t as (select doc_id, rtrim(text, chr(13) || chr(10)) found from documents where rtrim(text, chr(13) || chr(10)) <> '') "
-    r"select doc_id, source_id, case when found is not null then 'text\' || doc_id || '.txt' else text_path end text_path, case when found is not null then length(found) else coalesce(text_len, 0) end text_len, case when found is not null then sha256(found) else sha256_text end sha256_text from manifest left join t using (doc_id)",
+    r"with t as (select doc_id, rtrim(text, chr(13) || chr(10)) found from documents where rtrim(text, chr(13) || chr(10)) <> ''), r as (select page_id doc_id, strlen(raw_html)::bigint raw_bytes from robot_pages) "
+    r"select doc_id, source_id, case when found is not null then 'text\' || doc_id || '.txt' else text_path end text_path, case when found is not null then length(found) else coalesce(text_len, 0) end text_len, case when found is not null then sha256(found) else sha256_text end sha256_text, "
+    r"case when raw_bytes > 0 then 'raw_html\' || doc_id || '.html' else raw_path end raw_path, case when raw_bytes > 0 then raw_bytes else bytes_len end bytes_len from manifest left join t using (doc_id) left join r using (doc_id)",
 )
 def _(spark, d):
-    return corpus.repair_manifest(table(spark, d, "manifest"), _docs(spark, d)).select("doc_id", "source_id", "text_path", "text_len", "sha256_text")
+    # Fetched pages stand in for the raw files: one for every third document or so.
+    raws = table(spark, d, "robot_pages").select(F.col("page_id").alias("doc_id"), F.octet_length("raw_html").cast("long").alias("raw_bytes"))
+    return corpus.repair_manifest(table(spark, d, "manifest"), _docs(spark, d), raws).select("doc_id", "source_id", "text_path", "text_len", "sha256_text", "raw_path", "bytes_len")
 
 
 @registered("sha256_dedup", "select min(doc_id) doc_id, sha256(text) content_hash, count(*) copies from documents where text is not null group by 2")
@@ -320,6 +352,11 @@ def _(spark, d):
     return tables.resume_state(table(spark, d, "manifest"))[2]
 
 
+@registered("resume_hashes", "select distinct trim(sha256_text) sha256_text from manifest where trim(sha256_text) <> ''")
+def _(spark, d):
+    return tables.resume_state(table(spark, d, "manifest"))[3]
+
+
 @registered("url_normalize", f"select url, {_URL.format(u='url')} url_norm, {_HOST.format(u='url')} host from manifest where url is not null")
 def _(spark, d):
     return table(spark, d, "manifest").where("url is not null").select("url", U.normal_url(F.col("url")).alias("url_norm"), U.host_of(F.col("url")).alias("host"))
@@ -344,6 +381,19 @@ def _(spark, d):
     return table(spark, d, "frontier").select("url_norm").distinct().join(seen, "url_norm", "left_anti")
 
 
+_PAGE_CASES = [
+    ("<p>Один&nbsp;два<script>bad()</script><noscript>no</noscript><b>три</b>", "Один два три", "Один\u00a0два три"), ("<div>  a\n b </div>\n<!-- c --><style>x</style><p>d", "a b d", "a\n b d"),
+    ("", "", ""), (None, None, None), ("<title>t</title>&lt;x&gt; &amp;<br>y", "t <x> & y", "t <x> & y"),
+]
+_PAGE_VALUES = ", ".join(f"({k}, {_value(a)}, {_value(b)})" for k, (_, a, b) in enumerate(_PAGE_CASES))
+
+
+@registered("page_text_fixture", f"select * from (values {_PAGE_VALUES}) t(k, text, lines)")
+def _(spark, d):
+    rows = spark.createDataFrame([(k, h) for k, (h, _, _) in enumerate(_PAGE_CASES)], "k int, h string")
+    return rows.select("k", U.html_text(F.col("h")).alias("text"), U.html_text(F.col("h"), collapse=False).alias("lines"))
+
+
 @registered("page_text")
 def _(spark, d):
     return spread(table(spark, d, "robot_pages").select("page_id", "raw_html")).select("page_id", U.html_text(F.col("raw_html")).alias("text"))
@@ -359,9 +409,9 @@ def _(spark, d):
     return spread(table(spark, d, "robot_pages").select("page_id", "raw_html", "url")).select("page_id", F.explode(U.html_links(F.col("raw_html"), F.col("url"))).alias("link"))
 
 
-@registered("fetched_pages", "select page_id from robot_pages where lower(trim(split_part(content_type, ';', 1))) = 'text/html' and bytes_len <= 50000")
+@registered("fetched_pages", "select page_id from robot_pages where lower(trim(split_part(content_type, ';', 1))) = 'text/html' and bytes_len <= 5000000")
 def _(spark, d):
-    return tables.fetched(table(spark, d, "robot_pages"), max_bytes=50_000).select("page_id")
+    return tables.fetched(table(spark, d, "robot_pages")).select("page_id")
 
 
 @registered("charsets", "select page_id, trim(regexp_extract(lower(content_type), 'charset=([^;]+)', 1)) charset from robot_pages where content_type is not null")
@@ -369,10 +419,13 @@ def _(spark, d):
     return table(spark, d, "robot_pages").where("content_type is not null").select("page_id", U.charset_of(F.col("content_type")).alias("charset"))
 
 
-@registered("decoded_pages")
+@registered("decoded_pages", "select page_id, raw_html html from robot_pages")
 def _(spark, d):
-    pages = table(spark, d, "robot_pages")
-    return pages.select("page_id", U.decode_bytes(F.encode("raw_html", "UTF-8"), F.col("content_type")).alias("html"))
+    # Bytes as a server would send them; where the charset lacks a character they are UTF-8 and undeclared.
+    pages = spread(table(spark, d, "robot_pages").select("page_id", "raw_html", "content_type"))
+    body = pages.select("page_id", "raw_html", "content_type", U.encode_text(F.col("raw_html"), F.col("content_type")).alias("body"))
+    declared = F.when(F.col("body") != F.encode("raw_html", "UTF-8"), F.col("content_type"))
+    return body.select("page_id", U.decode_bytes(F.col("body"), declared).alias("html"))
 
 
 _ONE = """with one as (select url_norm, r.* from (select url_norm, min({'added_at': added_at, 'next_fetch_at': next_fetch_at, 'url': coalesce(url, ''), 'status': status}) r from frontier group by 1)) """
@@ -391,18 +444,6 @@ def _(spark, d):
     return new.select("url_norm", "status", F.col("next_fetch_at").cast("int").alias("next_fetch_at"), F.col("added_at").cast("int").alias("added_at"), "depth")
 
 
-@registered("frontier_due", f"with f as (select url_norm, min(struct_pack(a := added_at, n := next_fetch_at)) r, count(*) from frontier where status = 'pending' and url_norm in (select url_norm from frontier group by 1 having count(*) = 1) group by 1) select url_norm, r.n next_fetch_at from f where r.n <= {_NOW} order by r.n, r.a, url_norm limit 100")
-def _(spark, d):
-    once = table(spark, d, "frontier").groupBy("url_norm").agg(F.count("*").alias("k")).where("k = 1").select("url_norm")
-    return fr.due(table(spark, d, "frontier").join(once, "url_norm", "left_semi"), _NOW, 100).select("url_norm", "next_fetch_at")
-
-
-@registered("frontier_lease", f"with f as (select * from frontier where url_norm in (select url_norm from frontier group by 1 having count(*) = 1)), t as (select url_norm from f where status = 'pending' and next_fetch_at <= {_NOW} order by next_fetch_at, added_at, url_norm limit 100) select url_norm, case when url_norm in (from t) then 'in_progress' else status end status, case when url_norm in (from t) then {_NOW} else started_at end started_at, case when url_norm in (from t) then {_NOW + 120} else lease_until end lease_until from f")
-def _(spark, d):
-    once = table(spark, d, "frontier").groupBy("url_norm").agg(F.count("*").alias("k")).where("k = 1").select("url_norm")
-    return fr.lease(table(spark, d, "frontier").join(once, "url_norm", "left_semi"), _NOW, 120, 100).select("url_norm", "status", "started_at", "lease_until")
-
-
 @registered("frontier_reset_stuck", f"select url_norm, case when s then 'pending' else status end status, case when not s then started_at end started_at, case when not s then lease_until end lease_until from (select *, coalesce(status = 'in_progress' and started_at <= {_NOW - 900}, false) s from frontier)")
 def _(spark, d):
     return fr.reset_stuck(table(spark, d, "frontier"), _NOW, 900).select("url_norm", "status", "started_at", "lease_until")
@@ -417,29 +458,22 @@ def _results(rows: DataFrame) -> DataFrame:
     )
 
 
-@registered("frontier_finish", "with f as (select * from frontier where url_norm in (select url_norm from frontier group by 1 having count(*) = 1)) " + _FINISH.format(now=_NOW))
-def _(spark, d):
-    once = table(spark, d, "frontier").groupBy("url_norm").agg(F.count("*").alias("k")).where("k = 1").select("url_norm")
-    rows = table(spark, d, "frontier").join(once, "url_norm", "left_semi")
-    return fr.finish(rows, _results(rows)).select("url_norm", "status", "next_fetch_at", "updated_at", "last_error", "started_at")
-
-
-# The three above leave out URLs with repeated rows, as their SQL says; these have every URL, with the row that ``one_per_url`` keeps.
+# Every URL, a repeated one with the row that ``one_per_url`` keeps.
 _WHOLE = "with f as (select * exclude (k) from (select *, row_number() over (partition by url_norm order by added_at nulls first, next_fetch_at nulls first, " + ", ".join(f"{c} nulls first" for c in fr.COLUMNS if c not in ("url_norm", "added_at", "next_fetch_at")) + ") k from frontier) where k = 1)"
 _DUE = f"select url_norm, next_fetch_at from f where status = 'pending' and next_fetch_at <= {_NOW} order by next_fetch_at, added_at, url_norm limit 100"
 
 
-@registered("frontier_due_whole", f"{_WHOLE} {_DUE}")
+@registered("frontier_due", f"{_WHOLE} {_DUE}")
 def _(spark, d):
     return fr.due(_frontier(spark, d), _NOW, 100).select("url_norm", "next_fetch_at")
 
 
-@registered("frontier_lease_whole", f"{_WHOLE}, t as (select url_norm from ({_DUE})) select url_norm, case when url_norm in (from t) then 'in_progress' else status end status, case when url_norm in (from t) then {_NOW} else started_at end started_at, case when url_norm in (from t) then {_NOW + 120} else lease_until end lease_until from f")
+@registered("frontier_lease", f"{_WHOLE}, t as (select url_norm from ({_DUE})) select url_norm, case when url_norm in (from t) then 'in_progress' else status end status, case when url_norm in (from t) then {_NOW} else started_at end started_at, case when url_norm in (from t) then {_NOW + 120} else lease_until end lease_until from f")
 def _(spark, d):
     return fr.lease(_frontier(spark, d), _NOW, 120, 100).select("url_norm", "status", "started_at", "lease_until")
 
 
-@registered("frontier_finish_whole", f"{_WHOLE} " + _FINISH.format(now=_NOW))
+@registered("frontier_finish", f"{_WHOLE} " + _FINISH.format(now=_NOW))
 def _(spark, d):
     return fr.finish(_frontier(spark, d), _results(_frontier(spark, d))).select("url_norm", "status", "next_fetch_at", "updated_at", "last_error", "started_at")
 
@@ -469,11 +503,28 @@ def _(spark, d):
     return fr.upsert(old, pages.where("page_id % 2 = 1")).select("url_norm", "checked_at", "first_seen_at", "crawled_at", "content_hash", "changed", "existed")
 
 
-@registered("crawl_reach")
+_JUDGED = (
+    "select u url_norm, id matched, coalesce(len(list_filter(deny_regex, lambda p: regexp_matches(u, '^(?:' || p || ')'))) = 0 and (len(allow_regex) = 0 or len(list_filter(allow_regex, lambda p: regexp_matches(u, '^(?:' || p || ')'))) > 0), false) allowed, max_depth "
+    f"from (select u, arg_min(id, ord) id from (select u, {_HOST.format(u='u')} host from {{urls}}) join (select unnest(allowed_domains) host, id, ord from sources) using (host) group by 1) join sources using (id)"
+)
+_LINKS_SQL = "select url_norm f, {url} u from (select url_norm, regexp_extract(url, '^[^:]+://[^/?#]*') || href link from (select url_norm, url, unnest(regexp_extract_all(regexp_replace(raw_html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<[aA] [^>]*?href=\"([^\"]*)\"', 1)) href from robot_pages where raw_html <> '') where href <> '' and not regexp_matches(href, '^(?:mailto:|tel:|javascript:)'))"
+
+
+@registered(
+    "crawl_reach",
+    f"with recursive start as (select distinct {_URL.format(u='u')} u from (select unnest(start_urls) u from sources) union select distinct url_norm u from frontier where depth = 0), "
+    f"links as (select distinct f, u from ({_LINKS_SQL.format(url=_URL.format(u='link'))})), "
+    f"good as ({_JUDGED.format(urls='(select u from links union select u from start)')}), "
+    "step as (select f, u, matched, max_depth from links join good on url_norm = u where allowed), "
+    "reach as (select u, 0 d from start join good on url_norm = u where allowed union select s.u, d + 1 from reach r join step s on s.f = r.u where d + 1 <= least(10, s.max_depth)) "
+    "select u url_norm, matched source_id, min(d)::int depth from reach join good on url_norm = u group by 1, 2",
+)
 def _(spark, d):
+    # Start pages and what the frontier has of depth 0, over all fetched pages, to each source's depth.
     pages = table(spark, d, "robot_pages").where("raw_html <> ''").select("url_norm", "url", "raw_html")
-    start = table(spark, d, "robot_pages").select("url_norm")
-    return fr.crawl(start, pages, table(spark, d, "sources"), max_depth=3)
+    start = table(spark, d, "sources").select(F.explode("start_urls").alias("url")).select(U.normal_url(F.col("url")).alias("url_norm"))
+    start = start.unionByName(table(spark, d, "frontier").where("depth = 0").select("url_norm"))
+    return fr.crawl(start, pages, table(spark, d, "sources"))
 
 
 @registered("latest_manifest", "select doc_id, arg_max(source_id, (fetch_ts, source_id)) source_id, max(fetch_ts) fetch_ts from manifest group by 1")
@@ -490,15 +541,15 @@ def _(spark, d):
     return spark.createDataFrame([(float(x),) for x in _LOG_CASES], "x double").select("x", F.round(T.log_series(F.col("x")), 6).alias("y"))
 
 
-_STEM_CASES = "домов столов делать домами читался они ие я ая новости области hello".split()
+_STEM_CASES = {"домов": "дом", "столов": "стол", "делать": "дел", "домами": "дом", "читался": "чита", "они": "он", "ие": "ие", "я": "я", "ая": "ая", "новости": "новост", "области": "област", "hello": "hello", "hello123": "hello123"}
 
 
-@registered("stem_fixture", f"select w, regexp_replace(w, '{_STEM}', '\\1') term from (values {', '.join(f'''('{w}')''' for w in _STEM_CASES)}) t(w)")
+@registered("stem_fixture", "select * from (values " + ", ".join(f"('{w}', '{t}')" for w, t in _STEM_CASES.items()) + ") t(w, term)")
 def _(spark, d):
     return spark.createDataFrame([(w,) for w in _STEM_CASES], "w string").select("w", T.stem(F.col("w")).alias("term"))
 
 
-@registered("stop_words", f"select word, word in ({_quoted(T.INDEX_STOP_WORDS)}) in_index, word in ({_quoted(T.QUERY_STOP_WORDS)}) in_query from common_words")
+@registered("stop_words", f"select word, word in ({_SQL_STOP}) in_index, word in ({_quoted(T.QUERY_STOP_WORDS)}) in_query from common_words")
 def _(spark, d):
     return table(spark, d, "common_words").select("word", T.is_index_stop(F.col("word")).alias("in_index"), T.is_query_stop(F.col("word")).alias("in_query"))
 
@@ -506,10 +557,6 @@ def _(spark, d):
 _RUNS = [(q, "ranked" if k % 3 else "boolean", int(k % 7 != 0), 100.0 + 7 * k % 60, k % 5, None if k % 5 == 0 else 0.1, None if k % 5 == 0 else 0.1 * (k % 5), 0.9) for q in ("a", "b", "c") for k in range(1, 11)]
 
 
-def _value(v) -> str:
-    return "null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else str(v)
-
-
 @registered(
     "bench_summary",
     "with r as (select * from (values " + ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in _RUNS) + ") t(query, mode, ok, elapsed_ms, hits, score_min, score_med, score_max)), "
@@ -521,7 +568,19 @@ def _(spark, d):
     return bench.summary(spark.createDataFrame(_RUNS, bench.RUNS))
 
 
-@registered("clean_titles")
+_TITLE_CASES = [
+    ("  Мост\u00a0 закрыт ", "Мост закрыт"), ("Новости Спорт Меню Новости Погода", "Новости Спорт"), ("Новости Температура +5 Новости дня", "Новости"), ("Мост закрыт» — Вестник", "Мост закрыт"),
+    ("Мост закрыт Размер шрифта: А", "Мост закрыт"), ("", ""), ("я" * 90, "я" * 77 + "..."), ("Погода Меню Новости", "Погода Меню Новости"),
+]
+
+
+@registered("clean_titles", "select * from (values " + ", ".join(f"({k}, '{want}')" for k, (_, want) in enumerate(_TITLE_CASES)) + ") t(k, title)")
+def _(spark, d):
+    return spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_TITLE_CASES)], "k int, t string").select("k", T.clean_title(F.col("t")).alias("title"))
+
+
+@registered("clean_titles_all", "select doc_id, case when length(t) > 80 then rtrim(left(t, 77)) || '...' else t end title from (select doc_id, trim(regexp_replace(regexp_replace(case when lower(s) like 'новости%' then regexp_replace(s, '(?: Температура| НУ И ПОГОДА| Меню Новости| Новости ).*$', '') else s end, '(?:»|Ковровские вести|Размер шрифта:|Межбуквенный интервал:|Мы используем cookie).*$', ''), '^$', '')) t "
+ "from (select doc_id, trim(regexp_replace(" + _TITLE + ", '[\\s\\x{0b}\\x{a0}]+', ' ', 'g')) s from (select doc_id, regexp_extract(text, '^[\\r\\n\\t ]*([^\\r\\n]*)', 1) line from documents where text <> '')))")
 def _(spark, d):
     return _docs(spark, d).where("text <> ''").select("doc_id", T.clean_title(T.title_of_text(F.col("text"))).alias("title"))
 

@@ -153,6 +153,6 @@ def page(rows: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
 def boolean_search(index: Index, query: str, offset: int = 0, limit: int = 50, yo_to_e: bool = True) -> DataFrame:
     """(doc_id, title, url) in order of ids."""
     top = page(matches(index, query, yo_to_e).orderBy("doc_id"), offset, limit)
-    return top.join(index.docs, "doc_id").select("doc_id", "title", "url").orderBy("doc_id")
+    return top.join(index.docs, "doc_id").select("doc_id", "title", "url").repartition(1).sortWithinPartitions("doc_id")
 
 

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import log_number, log_of
 from wordmill.operators.index import Index
-from wordmill.plans.query import Plan, boolean_search, is_boolean, page
+from wordmill.plans.query import Plan, boolean_search, evaluate, is_boolean, page, program
 
 
 def scores(index: Index, query: str, yo_to_e: bool = True) -> DataFrame:
     """(doc_id, score) of the documents with a positive sum of weights.
 
     A term's postings are read once: flags for the program and the score come from one
-    aggregation by document. df is a window-free aggregate of the same few lists."""
+    aggregation by document; their df comes from the dictionary."""
     plan = Plan.of(query, yo_to_e)
     cond = plan.condition()
     empty = index.docs.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
@@ -24,7 +25,7 @@ def scores(index: Index, query: str, yo_to_e: bool = True) -> DataFrame:
         return empty
     times = Counter(plan.words)
     lists = index.postings.where(F.col("term").isin(plan.terms))
-    df = {r["term"]: r["df"] for r in lists.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
+    df = index.frequencies(plan.terms)
     factor = F.lit(0.0)
     for term, n in times.items():
         if term in df:
@@ -40,9 +41,58 @@ def scores(index: Index, query: str, yo_to_e: bool = True) -> DataFrame:
 def ranked_search(index: Index, query: str, offset: int = 0, limit: int = 50, yo_to_e: bool = True) -> DataFrame:
     """(doc_id, score, title, url) by falling score, then id; score to six digits."""
     top = page(scores(index, query, yo_to_e).orderBy(F.desc("score"), "doc_id"), offset, limit)
-    return top.join(index.docs, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "title", "url").orderBy(F.desc("score"), "doc_id")
+    return top.join(index.docs, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "title", "url").repartition(1).sortWithinPartitions(F.desc("score"), "doc_id")
 
 
 def search(index: Index, query: str, offset: int = 0, limit: int = 50, yo_to_e: bool = True) -> DataFrame:
     """Boolean if the query holds an operator, else ranked."""
     return (boolean_search if is_boolean(query) else ranked_search)(index, query, offset, limit, yo_to_e)
+
+
+def _plans(yo_to_e: bool):
+    def run(batches):
+        for b in batches:
+            plans = [Plan.of(q or "", yo_to_e) for q in b.column(1).to_pylist()]
+            boolean = [is_boolean(q or "") for q in b.column(1).to_pylist()]
+            times = [[{"term": t, "times": n} for t, n in {t: p.words.count(t) for t in p.terms}.items()] for p in plans]
+            kind = pa.list_(pa.struct([("term", pa.string()), ("times", pa.int32())]))
+            universe = [x and p.matches_empty for x, p in zip(boolean, plans)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(boolean), pa.array(universe), pa.array(times, kind)], ["qid", "query", "boolean", "universe", "terms"])
+
+    return run
+
+
+def _holds(yo_to_e: bool):
+    @F.pandas_udf("boolean")
+    def holds(queries, have):
+        programs = {q: program(q, yo_to_e) for q in set(queries)}
+        return queries.combine(have, lambda q, h: bool(evaluate(programs[q], set(h).__contains__, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)))
+
+    return holds
+
+
+def batch_search(index: Index, queries: DataFrame, limit: int = 50, yo_to_e: bool = True) -> DataFrame:
+    """(qid, place, doc_id, score, title, url) of a table (qid, query) of any size, each query as ``search``
+    answers it: boolean ones by id and without a score, ranked ones by falling score; at most ``limit`` rows each.
+
+    Queries become rows of their terms; one join with the postings and one aggregation by query and
+    document serve all of them. A query that documents without any of its terms match (``!город``)
+    ranges over all documents."""
+    from wordmill.session import materialise
+
+    plans = materialise(queries.select("qid", F.coalesce("query", F.lit("")).alias("query")).mapInArrow(_plans(yo_to_e), "qid long, query string, boolean boolean, universe boolean, terms array<struct<term:string,times:int>>"), "plans")
+    terms = plans.select("qid", F.explode("terms").alias("t")).select("qid", "t.term", "t.times")
+    words = index.words if index.words is not None else index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = terms.join(words.select("term", "df"), "term")
+    weight = (1 + log_of(F.col("tf").cast("double"), index.log_mode)) * log_of(F.lit(float(index.n_docs)) / F.col("df"), index.log_mode) * F.col("times")
+    hits = index.postings.join(asked, "term").groupBy("qid", "doc_id").agg(F.sum(weight).alias("total"), F.collect_set("term").alias("have"))
+    every = plans.where("universe").agg(F.collect_list("qid").alias("qids"))  # as many as there are such queries
+    ids = index.docs.select("doc_id").distinct()
+    bare = ids.join(F.broadcast(every), F.lit(True)).select(F.explode("qids").alias("qid"), "doc_id").join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    rows = hits.unionByName(bare.select("qid", "doc_id", F.lit(0.0).alias("total"), F.array().cast("array<string>").alias("have")))
+    rows = rows.join(plans.select("qid", "query", "boolean"), "qid").where(_holds(yo_to_e)(F.col("query"), F.col("have")) & (F.col("boolean") | (F.col("total") > 0)))
+    rows = rows.join(index.docs.select("doc_id", "norm"), "doc_id")
+    score = F.when(~F.col("boolean"), F.when(F.col("norm") > 0, F.col("total") / F.col("norm")).otherwise(F.col("total")))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    top = rows.select("qid", "doc_id", score.alias("score")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    return top.join(index.docs.select("doc_id", "title", "url"), "doc_id").select("qid", "place", "doc_id", F.round("score", 6).alias("score"), "title", "url")

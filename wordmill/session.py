@@ -17,10 +17,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, one process that is
+    driver and executor at once gets a fresh one; on a cluster that is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="wordmill-"))
     return _own_dir[0]

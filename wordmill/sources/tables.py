@@ -14,11 +14,13 @@ _TYPES = {"doc_id": "bigint", "status": "int", "bytes_len": "bigint", "text_len"
 
 
 def csv_field(line: str, idx: int) -> str | None:
-    """A field of one CSV line: quotes with ``""`` escapes, ends at CR or LF; None beyond the last."""
+    """A field of one CSV line: quotes with ``""`` escapes; CR or LF end it, in quotes too; None beyond the last."""
     out, k, quoted, n = [], 0, False, len(line)
     fields = 0
     while k < n:
         c = line[k]
+        if c in "\r\n":
+            break
         if quoted:
             if c == '"' and line[k + 1 : k + 2] == '"':
                 k += 1
@@ -33,8 +35,6 @@ def csv_field(line: str, idx: int) -> str | None:
             if fields == idx:
                 return "".join(out)
             fields, out = fields + 1, []
-        elif c in "\r\n":
-            break
         else:
             out.append(c)
         k += 1
@@ -163,13 +163,25 @@ class RobotConfig:
     error_backoff_sec: int = 600
     reset_stuck_after_sec: int = 900
     lease_sec: int = 120
+    concurrency: int = 1
+    request_delay_sec: float = 1.0
+    run_forever: bool = False
+
+
+#: Sections of a robot's file and the keys each must have.
+ROBOT_KEYS = {"db": ("uri", "database", "documents_collection", "frontier_collection"), "logic": tuple(RobotConfig.__dataclass_fields__), "crawl_config_path": ()}
 
 
 def load_robot(path: str) -> RobotConfig:
+    """The logic of a robot's YAML file; any missing key of any section is an error that names it."""
     import yaml
 
-    logic = yaml.safe_load(Path(path).read_text("utf-8"))["logic"]
-    return RobotConfig(**{k: logic[k] for k in RobotConfig.__dataclass_fields__ if k in logic})
+    data = yaml.safe_load(Path(path).read_text("utf-8")) or {}
+    missing = [s for s in ROBOT_KEYS if s not in data] + [f"{s}.{k}" for s, keys in ROBOT_KEYS.items() if s in data for k in keys if k not in (data[s] or {})]
+    if missing:
+        raise ValueError(f"the robot's configuration lacks {', '.join(missing)}")
+    kinds = {k: type(f.default) for k, f in RobotConfig.__dataclass_fields__.items()}
+    return RobotConfig(**{k: kind(data["logic"][k]) for k, kind in kinds.items()})
 
 
 def fetched(pages: DataFrame, content_types: tuple[str, ...] = ("text/html",), max_bytes: int = 5_000_000) -> DataFrame:
@@ -178,13 +190,23 @@ def fetched(pages: DataFrame, content_types: tuple[str, ...] = ("text/html",), m
     return pages.where(kind.isin(*content_types) & (F.col("bytes_len") <= max_bytes))
 
 
-def resume_state(manifest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What a crawl needs to resume: (max_doc_id), (source_id, n), (url) seen, normalised."""
+def resume_state(manifest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a crawl needs to resume: (max_doc_id), (source_id, n), (url) seen, normalised, (sha256_text) seen."""
     from wordmill.functions.urls import normal_url
 
     top = manifest.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("max_doc_id"))
     counts = manifest.groupBy("source_id").agg(F.count("*").alias("n"))
     urls = manifest.select(F.explode(F.array("url", "final_url")).alias("url")).where("url <> ''").select(normal_url(F.col("url")).alias("url")).distinct()
-    return top, counts, urls
+    hashes = manifest.select(F.trim("sha256_text").alias("sha256_text")).where("sha256_text <> ''").distinct()
+    return top, counts, urls, hashes
+
+
+def with_titles(documents: DataFrame, metas: DataFrame) -> DataFrame:
+    """Documents with the title of their meta data, ``metas`` (doc_id, meta) being JSON text; null without one,
+    which the index replaces by the first line. Of repeated ids the largest text counts."""
+    from wordmill.functions.text import title_of_json
+
+    titles = metas.groupBy("doc_id").agg(F.max("meta").alias("meta")).select("doc_id", title_of_json(F.col("meta")).alias("title"))
+    return documents.drop("title").join(titles, "doc_id", "left")
 
 

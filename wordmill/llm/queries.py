@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.salience import term_salience
 
-    return term_salience(table(spark, sf_dir, "postings")).select("doc_id", "term", F.round("score", 3).alias("score"))
+    return term_salience(table(spark, sf_dir, "postings")).select("doc_id", "term", (F.round("score", 3) + F.lit(0.0)).alias("score"))  # no negative zero
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ SQL: dict[str, str] = {
 k as (select doc_id, term, tf::double k11, row1 - tf k12, col1 - tf k21, n - row1 - col1 + tf k22, row1, col1, n - row1 row2, n - col1 col2, n from counted join d using (doc_id) join t using (term), n),
 g as (select *, greatest(0, 2 * (case when k11 > 0 then k11 * ln(k11 * n / (row1 * col1)) else 0 end + case when k12 > 0 then k12 * ln(k12 * n / (row1 * col2)) else 0 end
   + case when k21 > 0 then k21 * ln(k21 * n / (row2 * col1)) else 0 end + case when k22 > 0 then k22 * ln(k22 * n / (row2 * col2)) else 0 end)) g2 from k)
-select doc_id, term, round(case when k11 * n >= row1 * col1 then g2 else -g2 end, 3) score from g""",
+select doc_id, term, round(case when k11 * n >= row1 * col1 then g2 else -g2 end, 3) + 0.0::double score from g""",
     "p3_found": f"with {_LINES} select doc_id, line_no from lines join often using (source, n)",
     "p5_found": f"with {_COUNTED}, t as (select term, count(*) df from counted group by 1), d as (select count(distinct doc_id) n from counted) "
     "select term, case when df < 3 then 'rare' else 'common' end mark from t, d where df < 3 or df >= 0.25 * n",

@@ -84,6 +84,10 @@ def test_salience_is_the_likelihood_ratio(spark):
         assert (r.score >= 0) == (r.tf * n >= of_doc[r.doc_id] * of_term[r.term]) or abs(r.score) < 1e-9
     few = salience.term_salience(spark.createDataFrame(rows, POSTINGS), min_tf=2, max_df=50)
     assert few.count() == sum(1 for (t, _), tf in counts.items() if tf >= 2 and df[t] <= 50)
+    # Hot terms sent to the rows: the same scores.
+    key = lambda df: {(r.doc_id, r.term): round(r.score, 9) for r in df.collect()}
+    df = spark.createDataFrame(rows, POSTINGS)
+    assert key(salience.term_salience(df, hot_df=20)) == key(salience.term_salience(df)) and key(salience.term_salience(df, 2, 50, hot_df=20)) == key(few)
     assert salience.term_salience(spark.createDataFrame([], POSTINGS)).count() == 0
 
 
@@ -111,3 +115,8 @@ def test_site_lines_share(spark):
     docs = spark.createDataFrame(rows, DOCS)
     assert sitelines.repeated_lines(docs).count() == 0  # 5 of 101 are under 5 %
     assert sitelines.repeated_lines(docs.where(F.col("doc_id") < 100)).count() == 5
+
+
+def test_first_characters():
+    for line in ["  Привет", "\u00a0٣٤ x", "12 августа", "İstanbul", "© 2020 x", "\tabc", "", "  "]:
+        assert sitelines.first_of(line) == sitelines.normal_line(line + "x")[:1] or not line.strip(), line

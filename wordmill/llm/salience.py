@@ -24,6 +24,10 @@ from wordmill.llm.postings import counted
 from wordmill.session import materialise
 
 
+#: Documents from which a term's rows are too many to be gathered by one join key.
+HOT_DF = 100_000
+
+
 def _part(k: Column, row: Column, col: Column, n: Column) -> Column:
     return F.when(k > 0, k * F.ln(k * n / (row * col))).otherwise(F.lit(0.0))
 
@@ -39,24 +43,27 @@ def log_likelihood(k11: Column, in_doc: Column, of_term: Column, n: Column) -> C
     return F.when(k11 * n >= in_doc * of_term, g2).otherwise(-g2)
 
 
-def term_salience(postings: DataFrame, min_tf: int = 1, max_df: int | None = None) -> DataFrame:
+def term_salience(postings: DataFrame, min_tf: int = 1, max_df: int | None = None, hot_df: int = HOT_DF) -> DataFrame:
     """(doc_id, term, tf, df, score) of each document and term. ``min_tf`` and ``max_df`` keep the
     rows of at least that count and at most that document frequency; the statistics (df, lengths)
     always cover all rows.
 
     One shuffle by (term, document) sums the counts, which are written once; term and document
-    totals are aggregates of that table. The joins are by term and by document, with the totals
-    unique on the other side: the optimiser broadcasts them only where they turn out small."""
+    totals are aggregates of that table. Totals of hot terms (at least ``HOT_DF`` documents; there are at
+    most the pairs / ``HOT_DF`` of them) are sent to the rows, so no join gathers their rows; those of all
+    other terms meet rows by term."""
     base = materialise(counted(postings), "postings")
     docs = base.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
-    terms = base.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms = materialise(base.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")
     total = base.agg(F.sum("tf")).first()[0] or 0
     rows = base.where(F.col("tf") >= min_tf)
-    if max_df is not None:
-        terms = terms.where(F.col("df") <= max_df)
+    hot = F.broadcast(terms.where(F.col("df") >= hot_df))
+    cold = terms.where(F.col("df") < (hot_df if max_df is None else min(hot_df, max_df + 1)))
+    scored = rows.join(hot.select("term"), "term", "left_anti").join(cold, "term")
+    if max_df is None or max_df >= hot_df:
+        scored = scored.unionByName(rows.join(hot if max_df is None else hot.where(F.col("df") <= max_df), "term"))
     d = lambda c: F.col(c).cast("double")
     return (
-        rows.join(terms, "term")
-        .join(docs, "doc_id")
+        scored.join(docs, "doc_id")
         .select("doc_id", "term", "tf", "df", log_likelihood(d("tf"), d("doc_len"), d("cf"), F.lit(float(total))).alias("score"))
     )

@@ -206,7 +206,15 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     return spread(pages.select("page_id", "raw_html").where("raw_html is not null")).mapInArrow(_run, "page_id long, kind string")
 
 
+def _keep(batches, html: int):
+    import pyarrow.compute as pc
+
+    for b in batches:
+        bad = [bool(h) and bool(page_kind(blocks_of(h), title_of(h))) for h in b.column(html).to_pylist()]
+        yield b.filter(pc.invert(pa.array(bad, pa.bool_())))
+
+
 def without_residue(pages: DataFrame) -> DataFrame:
-    """The collection without them; all columns stay."""
-    bad = residue_pages(pages).select("page_id").distinct()
-    return pages.join(bad, "page_id", "left_anti")
+    """The collection without them; all columns stay. A page is judged where it is read: no join."""
+    html = pages.columns.index("raw_html")
+    return spread(pages).mapInArrow(lambda batches: _keep(batches, html), pages.schema)

@@ -133,7 +133,7 @@ def test_differencing_decides(spark):
     assert mainbody.main_blocks(pages, neighbours=0).count() >= len(set().union(*got.values()))
 
 
-@pytest.mark.parametrize("held", [500, 2])
+@pytest.mark.parametrize("held", [200, 2])
 def test_neighbours_across_ranges_and_behind_copies(spark, held, monkeypatch):
     """Many contents of one URL, ranges that hold nothing else, and copies: all have the blocks they have alone."""
     rows = [site(k, 1000) for k in range(4)] + [(100 + k, "https://a.example/n/001", site(1, 1000, f"<div>Номер {k} дня.</div>")[2]) for k in range(40)] + [(200, "https://a.example/n/001", site(1)[2])]

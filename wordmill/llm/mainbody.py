@@ -46,7 +46,7 @@ from wordmill.session import materialise
 #: Pages that a page is aligned with.
 NEIGHBOURS = 12
 #: Pages of a task that wait in memory for neighbours.
-HELD = 500
+HELD = 200
 #: Share of a page's text that a page of the same title must have to count as its copy.
 COPY_SHARE = 0.8
 

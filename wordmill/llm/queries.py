@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordmill.llm import cases
 from wordmill.session import table
 
 
@@ -47,6 +48,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_blocks(table(spark, sf_dir, "robot_pages")).select("page_id", "block_md5")
 
 
+def p4_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm import cases
+
+    return cases.main_body_cases(spark)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.termfreq import term_frequencies
 
@@ -65,6 +72,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_pages(table(spark, sf_dir, "robot_pages")).select("page_id")
 
 
+def p6_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm import cases
+
+    return cases.residue_cases(spark)
+
+
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.residue import without_residue
 
@@ -102,6 +115,22 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes).withColumnsRenamed({"item": "doc_id", "size": "n_tokens", "start": "start_token"})
 
 
+def p9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that has containers, and whether the rules hold for it: pieces that follow each
+    other without gaps, cut only above the capacity, no container beyond it, places counted from 0."""
+    from wordmill.llm.packing import CAPACITY
+
+    rows = p9_containers(spark, sf_dir)
+    bins = rows.groupBy("container").agg(F.sum("n_tokens").alias("fill"), F.countDistinct("place").alias("places"), F.count("*").alias("n"), F.max("place").alias("last"))
+    good = (F.col("fill") <= CAPACITY) & (F.col("places") == F.col("n")) & (F.col("last") == F.col("n") - 1)
+    docs = rows.join(bins.select("container", good.alias("good")), "container").groupBy("doc_id").agg(
+        F.min("good").alias("good"), F.sum("n_tokens").alias("total"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("parts"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"),
+        F.min(F.col("start_token") == F.col("piece") * CAPACITY).alias("follow"), F.min("start_token").alias("begin"),
+    )
+    whole = F.col("good") & F.col("follow") & (F.col("begin") == 0) & (F.col("end") == F.col("total")) & (F.col("pieces") == F.col("parts")) & (F.col("pieces") == F.ceil(F.col("total") / CAPACITY))
+    return docs.select("doc_id", whole.alias("whole"))
+
+
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are: their number, the least number that the tokens ask for, and the fill."""
     from wordmill.llm.packing import CAPACITY
@@ -117,6 +146,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_items(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos")
 
 
+def p10_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm import cases
+
+    return cases.personal_cases(spark)
+
+
 def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.pii import masked_texts
 
@@ -125,7 +160,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p2_found, p3_found, p3_texts, p4_found, p5_found, p5_counts, p6_found, p6_clean, p7_found, p7_figures, p8_ids, p9_containers, p9_fill, p10_found, p10_texts)
+    for f in (p1_found, p1_scores, p2_found, p3_found, p3_texts, p4_found, p4_cases, p5_found, p5_counts, p6_found, p6_cases, p6_clean, p7_found, p7_figures, p8_ids, p9_containers, p9_rules, p9_fill, p10_found, p10_cases, p10_texts)
 }
 
 _TERM = "replace(lower(trim(nfc_normalize(term), ' ' || chr(9) || chr(10) || chr(13) || chr(160))), 'ё', 'е')"
@@ -138,7 +173,19 @@ often as (
   select source, n from lines join (select source, count(*) size from documents group by 1) using (source)
   where regexp_matches(n, '[\p{L}\p{N}]') group by source, n, size having count(distinct doc_id) >= 5 and count(distinct doc_id) >= 0.05 * size)"""
 
+#: Runs of three words: which documents share at least half of those that either has.
+_PAIRS = r"""with w as (select doc_id, regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\p{L}\p{N}]+') w from documents where text is not null),
+s as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) s from w where len(w) >= 3),
+n as (select doc_id, count(*) n from s group by 1),
+c as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2)
+select x doc_id_a, y doc_id_b from c join n p on p.doc_id = x join n q on q.doc_id = y where 2 * c >= p.n + q.n - c"""
+
 SQL: dict[str, str] = {
+    "p2_found": _PAIRS,
+    "p4_cases": cases.main_body_sql(),
+    "p6_cases": cases.residue_sql(),
+    "p9_rules": r"select doc_id, true whole from documents where regexp_matches(text, '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')",
+    "p10_cases": cases.personal_sql(),
     "p1_found": f"with {_COUNTED} select doc_id, term from (select *, count(*) over (partition by term) df from counted) where tf >= 4 and df <= 8",
     "p1_scores": f"with {_COUNTED}, " + """d as (select doc_id, sum(tf)::double row1 from counted group by 1), t as (select term, sum(tf)::double col1 from counted group by 1), n as (select sum(tf)::double n from counted),
 k as (select doc_id, term, tf::double k11, row1 - tf k12, col1 - tf k21, n - row1 - col1 + tf k22, row1, col1, n - row1 row2, n - col1 col2, n from counted join d using (doc_id) join t using (term), n),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wordmill.functions.text import log_number, log_of
 from wordmill.operators.index import Index
-from wordmill.plans.query import Plan, boolean_search, evaluate, is_boolean, page, program
+from wordmill.plans.query import OPERATORS, Plan, boolean_search, evaluate, is_boolean, page, program
 
 
 def scores(index: Index, query: str, yo_to_e: bool = True) -> DataFrame:
@@ -52,47 +52,64 @@ def search(index: Index, query: str, offset: int = 0, limit: int = 50, yo_to_e:
 def _plans(yo_to_e: bool):
     def run(batches):
         for b in batches:
-            plans = [Plan.of(q or "", yo_to_e) for q in b.column(1).to_pylist()]
-            boolean = [is_boolean(q or "") for q in b.column(1).to_pylist()]
+            texts = b.column(0).to_pylist()
+            plans = [Plan.of(q, yo_to_e) for q in texts]
+            boolean = [is_boolean(q) for q in texts]
             times = [[{"term": t, "times": n} for t, n in {t: p.words.count(t) for t in p.terms}.items()] for p in plans]
+            # A program of nothing but terms and AND asks for all of them.
+            every = [len({t for t in p.code if t not in OPERATORS}) if p.code and all(t == "&&" or t not in OPERATORS for t in p.code) and p.code.count("&&") == sum(t not in OPERATORS for t in p.code) - 1 and set(p.terms) <= set(p.code) else None for p in plans]
             kind = pa.list_(pa.struct([("term", pa.string()), ("times", pa.int32())]))
             universe = [x and p.matches_empty for x, p in zip(boolean, plans)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(boolean), pa.array(universe), pa.array(times, kind)], ["qid", "query", "boolean", "universe", "terms"])
+            columns = [b.column(0), pa.array(boolean), pa.array(universe), pa.array(every, pa.int32()), pa.array(times, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["query", "boolean", "universe", "every", "terms"])
 
     return run
 
 
 def _holds(yo_to_e: bool):
-    @F.pandas_udf("boolean")
-    def holds(queries, have):
-        programs = {q: program(q, yo_to_e) for q in set(queries)}
-        return queries.combine(have, lambda q, h: bool(evaluate(programs[q], set(h).__contains__, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)))
+    def run(batches):
+        programs: dict[str, list[str]] = {}
+        for b in batches:
+            keep = []
+            for q, have in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                code = programs.get(q)
+                if code is None:
+                    code = programs[q] = program(q, yo_to_e)
+                keep.append(bool(evaluate(code, set(have).__contains__, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)))
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return holds
+    return run
 
 
 def batch_search(index: Index, queries: DataFrame, limit: int = 50, yo_to_e: bool = True) -> DataFrame:
     """(qid, place, doc_id, score, title, url) of a table (qid, query) of any size, each query as ``search``
     answers it: boolean ones by id and without a score, ranked ones by falling score; at most ``limit`` rows each.
 
-    Queries become rows of their terms; one join with the postings and one aggregation by query and
-    document serve all of them. A query that documents without any of its terms match (``!город``)
-    ranges over all documents."""
+    Equal queries are answered once. Queries become rows of their terms; one join with the postings and
+    one aggregation by query and document serve all of them. A query that asks for all its terms is
+    decided by their number, others by their program. A query that documents without any of its
+    terms match (``!город``) ranges over all documents."""
     from wordmill.session import materialise
 
-    plans = materialise(queries.select("qid", F.coalesce("query", F.lit("")).alias("query")).mapInArrow(_plans(yo_to_e), "qid long, query string, boolean boolean, universe boolean, terms array<struct<term:string,times:int>>"), "plans")
-    terms = plans.select("qid", F.explode("terms").alias("t")).select("qid", "t.term", "t.times")
+    asked = queries.select("qid", F.coalesce("query", F.lit("")).alias("query"))
+    shape = "query string, boolean boolean, universe boolean, every int, terms array<struct<term:string,times:int>>"
+    plans = materialise(asked.select("query").distinct().mapInArrow(_plans(yo_to_e), shape), "plans")
+    terms = plans.select("query", F.explode("terms").alias("t")).select("query", "t.term", "t.times")
     words = index.words if index.words is not None else index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    asked = terms.join(words.select("term", "df"), "term")
-    weight = (1 + log_of(F.col("tf").cast("double"), index.log_mode)) * log_of(F.lit(float(index.n_docs)) / F.col("df"), index.log_mode) * F.col("times")
-    hits = index.postings.join(asked, "term").groupBy("qid", "doc_id").agg(F.sum(weight).alias("total"), F.collect_set("term").alias("have"))
-    every = plans.where("universe").agg(F.collect_list("qid").alias("qids"))  # as many as there are such queries
+    terms = terms.join(words.select("term", "df"), "term").withColumn("factor", log_of(F.lit(float(index.n_docs)) / F.col("df"), index.log_mode) * F.col("times"))
+    weight = (1 + log_of(F.col("tf").cast("double"), index.log_mode)) * F.col("factor")
+    hits = index.postings.join(terms, "term").groupBy("query", "doc_id").agg(F.sum(weight).alias("total"), F.collect_set("term").alias("have"))
+    every = plans.where("universe").agg(F.collect_list("query").alias("queries"))  # as many as there are such queries
     ids = index.docs.select("doc_id").distinct()
-    bare = ids.join(F.broadcast(every), F.lit(True)).select(F.explode("qids").alias("qid"), "doc_id").join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-    rows = hits.unionByName(bare.select("qid", "doc_id", F.lit(0.0).alias("total"), F.array().cast("array<string>").alias("have")))
-    rows = rows.join(plans.select("qid", "query", "boolean"), "qid").where(_holds(yo_to_e)(F.col("query"), F.col("have")) & (F.col("boolean") | (F.col("total") > 0)))
-    rows = rows.join(index.docs.select("doc_id", "norm"), "doc_id")
+    bare = ids.join(F.broadcast(every), F.lit(True)).select(F.explode("queries").alias("query"), "doc_id").join(hits.select("query", "doc_id"), ["query", "doc_id"], "left_anti")
+    rows = hits.join(plans.select("query", "boolean", "every"), "query").where(F.col("boolean") | (F.col("total") > 0))
+    simple = rows.where(F.col("every") == F.size("have")).select("query", "doc_id", "total", "boolean")
+    rest = rows.where("every is null").select("query", "have", "doc_id", "total", "boolean")
+    bare = bare.select("query", F.array().cast("array<string>").alias("have"), "doc_id", F.lit(0.0).alias("total"), F.lit(True).alias("boolean"))
+    other = rest.unionByName(bare).mapInArrow(_holds(yo_to_e), "query string, have array<string>, doc_id long, total double, boolean boolean")
+    rows = simple.unionByName(other.select("query", "doc_id", "total", "boolean")).join(index.docs.select("doc_id", "norm"), "doc_id")
     score = F.when(~F.col("boolean"), F.when(F.col("norm") > 0, F.col("total") / F.col("norm")).otherwise(F.col("total")))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    top = rows.select("qid", "doc_id", score.alias("score")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
-    return top.join(index.docs.select("doc_id", "title", "url"), "doc_id").select("qid", "place", "doc_id", F.round("score", 6).alias("score"), "title", "url")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    top = rows.select("query", "doc_id", score.alias("score")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    top = top.join(index.docs.select("doc_id", "title", "url"), "doc_id").join(asked, "query")
+    return top.select("qid", "place", "doc_id", F.round("score", 6).alias("score"), "title", "url")

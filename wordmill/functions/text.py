@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,6 +138,28 @@ def log_of(x: Column, mode: str = "reference") -> Column:
     return F.when(x > 1, F.ln(x)).otherwise(F.lit(0.0))
 
 
+#: Counts whose logarithm is looked up; others are worked out.
+KNOWN_COUNTS = 64
+
+
+@lru_cache
+def count_sql(column: str, mode: str) -> str:
+    known = ", ".join(f"{log_number(float(k), mode)!r}D" for k in range(1, KNOWN_COUNTS + 1))
+    if mode == "reference":
+        x = f"cast({column} as double)"
+        k = f"(ceil(log2({x})) - 1)"  # more than 2 here
+        y = f"({x} / power(2D, {k}) - 1)"
+        other = f"{k} * 0.693147D + aggregate(sequence(1, 49, 2), 0D, (a, n) -> a + if(power({y}, n) > 1e-10D, power({y}, n) / n, 0D))"
+    else:
+        other = f"ln({column})"
+    return f"case when {column} <= {KNOWN_COUNTS} then element_at(array({known}), int({column})) else {other} end"
+
+
+def log_count(column: str, mode: str = "reference") -> Column:
+    """``log_of`` for a column of counts (1 or more), as one short expression: plans of searches are made of it."""
+    return F.expr(count_sql(column, mode))
+
+
 def title_of_text(text: Column, max_bytes: int = 200) -> Column:
     """First line after leading white space, at most ``max_bytes`` bytes, never cutting a character."""
     line = F.regexp_extract(text, "^[\\r\\n\\t ]*([^\\r\\n]*)", 1)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as T
@@ -57,13 +57,6 @@ def dictionary(postings: DataFrame, n_docs: int | None = None, log_mode: str = "
 
 #: A dictionary of at most so many terms is sent to all tasks; in a larger one only terms in so many documents are.
 BROADCAST_TERMS, HOT_DF = 500_000, 100_000
-#: Counts whose logarithm is looked up; others are worked out.
-_COUNTS = 64
-
-
-def _log_count(tf: Column, log_mode: str) -> Column:
-    known = F.array(*(F.lit(T.log_number(float(k), log_mode)) for k in range(1, _COUNTS + 1)))
-    return F.when(tf <= _COUNTS, F.element_at(known, tf.cast("int"))).otherwise(T.log_of(tf.cast("double"), log_mode))
 
 
 def weights(postings: DataFrame, n_docs: int, log_mode: str = "reference", words: DataFrame | None = None) -> DataFrame:
@@ -73,7 +66,7 @@ def weights(postings: DataFrame, n_docs: int, log_mode: str = "reference", words
     aren't shuffled; of a larger one the terms of ``HOT_DF`` or more documents are (at most the
     terms of a document * N / ``HOT_DF``), and the others, whose lists are bounded, meet by term."""
     words = materialise(dictionary(postings, n_docs, log_mode), "dictionary") if words is None else words
-    scored = lambda rows: rows.select("term", "doc_id", "tf", "df", ((1 + _log_count(F.col("tf"), log_mode)) * F.col("idf")).alias("w"))
+    scored = lambda rows: rows.select("term", "doc_id", "tf", "df", ((1 + T.log_count("tf", log_mode)) * F.col("idf")).alias("w"))
     if words.count() <= BROADCAST_TERMS:
         return scored(postings.join(F.broadcast(words), "term"))
     hot = F.broadcast(words.where(F.col("df") >= HOT_DF))
@@ -122,14 +115,22 @@ class Index:
     n_docs: int
     log_mode: str = "reference"
     words: DataFrame | None = None
+    known: dict[str, int] = field(default_factory=dict)
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:
-        """Document frequencies of a few terms: a row each comes to the driver."""
-        if self.words is not None:
-            rows = self.words.where(F.col("term").isin(terms)).select("term", "df")
-        else:
-            rows = dictionary(self.postings.where(F.col("term").isin(terms)))
-        return {r["term"]: r["df"] for r in rows.collect()}
+        """Document frequencies of the terms of a query that are in the index: a row each comes to the
+        driver, which remembers the last hundred thousand or so."""
+        new = [t for t in terms if t not in self.known]
+        if new:
+            if self.words is not None:
+                rows = self.words.where(F.col("term").isin(new)).select("term", "df")
+            else:
+                rows = dictionary(self.postings.where(F.col("term").isin(new)))
+            if len(self.known) > 100_000:
+                self.known.clear()
+                return self.frequencies(terms)
+            self.known.update(dict.fromkeys(new, 0) | {r["term"]: r["df"] for r in rows.collect()})
+        return {t: self.known[t] for t in terms if self.known[t]}
 
 
 def read_index(spark, path: str, log_mode: str = "reference") -> Index:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordmill.functions.text import log_number, log_of
+from wordmill.functions.text import count_sql, log_count, log_number, log_of
 from wordmill.operators.index import Index
 from wordmill.plans.query import OPERATORS, Plan, boolean_search, evaluate, is_boolean, page, program
 
@@ -20,22 +20,19 @@ def scores(index: Index, query: str, yo_to_e: bool = True) -> DataFrame:
     aggregation by document; their df comes from the dictionary."""
     plan = Plan.of(query, yo_to_e)
     cond = plan.condition()
-    empty = index.docs.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
     if cond is None or not plan.words:
-        return empty
+        return index.docs.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
     times = Counter(plan.words)
-    lists = index.postings.where(F.col("term").isin(plan.terms))
     df = index.frequencies(plan.terms)
-    factor = F.lit(0.0)
-    for term, n in times.items():
-        if term in df:
-            factor = F.when(F.col("term") == term, log_number(index.n_docs / df[term], index.log_mode) * n).otherwise(factor)
-    weight = (1 + log_of(F.col("tf").cast("double"), index.log_mode)) * factor
-    flags = [F.max(F.col("term") == t).alias(f"f{k}") for k, t in enumerate(plan.terms)]
-    hits = lists.groupBy("doc_id").agg(F.sum(weight).alias("total"), *flags)
+    # Terms are letters and digits only. Expressions as text: a plan of few calls is made sooner.
+    asked = " or ".join(f"term = '{t}'" for t in plan.terms)
+    factor = " ".join(f"when '{t}' then {log_number(index.n_docs / df[t], index.log_mode) * n!r}D" for t, n in times.items() if t in df)
+    total = f"sum((1 + {count_sql('tf', index.log_mode)}) * case term {factor} else 0D end)" if factor else "0D"
+    flags = [F.expr(f"max(term = '{t}') f{k}") for k, t in enumerate(plan.terms)]
+    hits = index.postings.where(asked).groupBy("doc_id").agg(F.expr(f"{total} total"), *flags)
     # A document without any of the terms has no weight, so the universe isn't needed.
-    good = hits.where(cond & (F.col("total") > 0)).select("doc_id", "total")
-    return good.join(index.docs.select("doc_id", "norm"), "doc_id", "left").select("doc_id", F.when(F.col("norm") > 0, F.col("total") / F.col("norm")).otherwise(F.col("total")).alias("score"))
+    good = hits.where("total > 0").where(cond).select("doc_id", "total")
+    return good.join(index.docs.select("doc_id", "norm"), "doc_id", "left").selectExpr("doc_id", "if(norm > 0, total / norm, total) score")
 
 
 def ranked_search(index: Index, query: str, offset: int = 0, limit: int = 50, yo_to_e: bool = True) -> DataFrame:
@@ -97,7 +94,7 @@ def batch_search(index: Index, queries: DataFrame, limit: int = 50, yo_to_e: boo
     terms = plans.select("query", F.explode("terms").alias("t")).select("query", "t.term", "t.times")
     words = index.words if index.words is not None else index.postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = terms.join(words.select("term", "df"), "term").withColumn("factor", log_of(F.lit(float(index.n_docs)) / F.col("df"), index.log_mode) * F.col("times"))
-    weight = (1 + log_of(F.col("tf").cast("double"), index.log_mode)) * F.col("factor")
+    weight = (1 + log_count("tf", index.log_mode)) * F.col("factor")
     hits = index.postings.join(terms, "term").groupBy("query", "doc_id").agg(F.sum(weight).alias("total"), F.collect_set("term").alias("have"))
     every = plans.where("universe").agg(F.collect_list("query").alias("queries"))  # as many as there are such queries
     ids = index.docs.select("doc_id").distinct()

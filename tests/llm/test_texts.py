@@ -99,6 +99,7 @@ SUPPORT = [
     for t in (
         "Запись (+7 946 689-62-{}) открыта.", "Звоните +7 946 689-62-{} днём.", "Справки по телефону +7 946 689-62-{}.", "Приём по адресу: проезд Луговой, дом {}.", "Выдача: г. Белоград, ул. Лесная, дом {}.",
         "Открыт дом {} по улице Лесной.", "The office is at {} Forest Lane now.", "Пишите post{}@mail.example сегодня.", "В заявлении указан СНИЛС 231-027-112-{}, и архив.", "Утерян документ: паспорт серии 5103 1309{}.",
+        "Пришла Нина Сергеевна Дубочова, дом {}.",  # a patronymic tells that the word before is a given name
     )
 ]
 

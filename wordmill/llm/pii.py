@@ -34,10 +34,10 @@ TRUST_ANY, SUPPORT_ANY = 0.9, 10
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 #: Seed given names.
-GIVEN_RU = """александр алексей анатолий андрей антон аркадий артём борис вадим валентин валерий василий виктор виталий владимир владислав вячеслав геннадий георгий глеб григорий даниил денис дмитрий евгений егор иван игорь илья кирилл константин лев леонид максим марат матвей михаил никита николай олег павел пётр роман руслан семён сергей станислав степан тимур фёдор юрий яков ярослав
-александра алёна алина алла анастасия анна валентина валерия вера вероника виктория галина дарья диана евгения екатерина елена елизавета жанна зинаида зоя инна ирина карина кира кристина ксения лариса лидия любовь людмила маргарита марина мария надежда наталья наталия нина оксана олеся ольга полина раиса светлана софия софья тамара татьяна ульяна юлия яна"""
-GIVEN_EN = """alexander alexey andrey anton boris denis dmitry egor evgeny fedor gleb grigory igor ilya ivan kirill konstantin leonid maxim matvey mikhail nikita nikolay oleg pavel petr roman sergey stepan timur vladimir yuri alena alina anastasia anna daria darya ekaterina elena irina julia yulia maria marina natalia nina olga polina svetlana tamara tatiana vera
-james john robert michael william david richard thomas charles mary patricia jennifer linda elizabeth susan sarah karen emily emma george peter paul jack henry alice jane"""
+GIVEN_RU = """александр анатолий антон артём вадим валерий виктор владимир вячеслав георгий григорий денис евгений иван илья константин леонид марат михаил николай павел роман семён станислав тимур юрий ярослав
+александра алина анастасия валентина вера виктория дарья евгения елена жанна зоя ирина кира ксения лидия людмила марина надежда наталия оксана ольга раиса софия тамара ульяна яна"""
+GIVEN_EN = """alexander andrey boris dmitry evgeny gleb igor ivan konstantin maxim mikhail nikolay pavel roman stepan vladimir alena anastasia daria ekaterina irina yulia marina nina polina tamara vera
+james robert william richard charles patricia linda susan karen emma peter jack alice"""
 
 _W = r"[^\W\d_]"
 _WORD = re.compile(rf"{_W}+(?:-{_W}+)*")
@@ -127,9 +127,9 @@ def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
     """The two words and the word before, and the word after; digits to 0."""
     left = re.sub(r"\d+", "0", text[max(0, start - 60) : start].lower()).split()
     left = [w.strip("(«\"[") or w for w in left]
-    right = [w for w in (x.strip(".,;:!?…»”\")]") for x in re.sub(r"\d+", "0", text[end : end + 40].lower()).split()) if w]
+    right = [x.rstrip(".,;:!?…»”\")]") for x in re.sub(r"\d+", "0", text[end : end + 40].lower()).split()[:1]]
     one = left[-1] if left else "^"
-    return " ".join(left[-2:]) or "^", one, right[0] if right else "$"
+    return " ".join(left[-2:]) or "^", one, (right[0] if right else "") or "$"
 
 
 def _trim_number(s: str) -> str:
@@ -305,8 +305,12 @@ def _names(text: str):
         j = i + 1
         if not k & 1 and j + 1 < n and len(words[i][2]) > 2 and kinds[j + 1] & 12 == 12 and words[i][2].lower() not in _NO_NAME:
             # The same around a given name that isn't known: the patronymic or initial tells.
-            if "\n" not in text[words[i][1] : words[j][0]] and ((kinds[j] & 2 and not k & 2 and near(i, j) and near(j, j + 1)) or (initial(j) and not k & 4 and near(i, j) and near(j, j + 1, True) and inside(i))):
-                yield words[i][0], words[j + 1][1], words[i][2], True
+            if "\n" not in text[words[i][1] : words[j][0]] and ((kinds[j] & 2 and not k & 2 and near(i, j) and near(j, j + 1)) or (initial(j) and not k & 4 and near(i, j) and near(j, j + 1, True))):
+                # At the beginning of a sentence any word is capitalised: there the initial alone is sure.
+                sure = bool(kinds[j] & 2) or inside(i)
+                yield words[i][0], words[j + 1][1], words[i][2], sure
+                if not sure:
+                    yield words[j][0], words[j + 1][1], "initials", True
                 i = j + 2
                 continue
         if k & 4 or (k & 8 and i + 1 < n and (kinds[i + 1] & 1 or kinds[i + 1] & 2)):
@@ -323,6 +327,11 @@ def _names(text: str):
                 end = j
                 if initial(j + 1) and near(j, j + 1, True):
                     end = j + 1
+                # Behind a comma the initials may be those of the next name: a surname follows them then.
+                if "," in text[words[i][1] : words[j][0]] and end + 1 < n and kinds[end + 1] & 12 == 12 and near(end, end + 1, True):
+                    yield words[j][0], words[end + 1][1], "initials", True
+                    i = end + 2
+                    continue
                 # With one initial a surname of the next name may follow: its own initial then.
                 if end == j and j + 1 < n and kinds[j + 1] & 8 and near(j, j + 1, True) and kinds[j + 1] & 4:
                     yield words[j][0], words[j + 1][1], "initials", True
@@ -435,7 +444,7 @@ def _accepted(found: DataFrame, rounds: int, trust: float, support: int) -> Data
         ok = lambda node, share=own, least=support: (F.col(f"t_{node}") >= least) & (F.col(f"s_{node}") >= share)
         shaped, right = F.col("form") != ANY, F.col("after") != "$"
         by_form = shaped & ok("form") & (F.col("form") != "initials")
-        vouched = (shaped & (ok("two") | ok("one") | (right & ok("after", TRUST_ANY, SUPPORT_ANY)))) | by_form | ok("two", TRUST_ANY, SUPPORT_ANY) | ok("one", TRUST_ANY, SUPPORT_ANY)
+        vouched = (shaped & (ok("two") | ok("one") | (right & ok("after", own, SUPPORT_ANY)))) | by_form | ok("two", TRUST_ANY, SUPPORT_ANY) | ok("one", TRUST_ANY, SUPPORT_ANY)
         state = materialise(
             scored.select("kind", *nodes, "n", "seeds", F.when(vouched | (F.col("yes") > F.col("seeds")), F.col("n").cast("double")).otherwise(F.col("seeds").cast("double")).alias("yes")), "graph"
         )
@@ -445,7 +454,9 @@ def _accepted(found: DataFrame, rounds: int, trust: float, support: int) -> Data
     either = more.where((F.col("form") == ANY) & F.col("kind").isin("phone", "id_number")).groupBy("doc_id", "start_pos", "end_pos").agg(F.max("kind").alias("kind"))
     columns = ["doc_id", "kind", "start_pos", "end_pos"]
     more = more.where(~((F.col("form") == ANY) & F.col("kind").isin("phone", "id_number"))).select(*columns).unionByName(either.select(*columns))
-    return found.where("seed").select(*columns).unionByName(more)
+    every = found.where("seed").select(*columns).unionByName(more)
+    # Of accepted items that end together the longest stays: with the given name before the initial.
+    return every.groupBy("doc_id", "kind", "end_pos").agg(F.min("start_pos").alias("start_pos")).select(*columns)
 
 
 def _mask_task(batches):

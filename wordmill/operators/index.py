@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as T
-from wordmill.session import materialise, spread
+from wordmill.session import materialise, spread, written
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,7 @@ def posting_gaps(postings: DataFrame) -> DataFrame:
 
     Lists are cut into ranges of (term, doc_id), so a term of every document is in many tasks; the
     last posting of each range, one row a task, is handed on to the next."""
-    ranged = postings.select("term", "doc_id", "tf").repartitionByRange("term", "doc_id").withColumn("part", F.spark_partition_id())
+    ranged = written(postings.select("term", "doc_id", "tf"), "postings").repartitionByRange("term", "doc_id").withColumn("part", F.spark_partition_id())
     # The partition of a row must not be worked out twice, so the ranges are written first.
     ranged = materialise(ranged, "ranges")
     ends = ranged.groupBy("part").agg(F.max(F.struct("term", "doc_id")).alias("end"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as T
-from wordmill.session import materialise, spread
+from wordmill.session import materialise, spread, written
 
 
 def corpus_tokens(documents: DataFrame, keep_numbers: bool = True, yo_to_e: bool = True, min_len: int = 2, limit_docs: int = -1, max_file_bytes: int = 0) -> DataFrame:
@@ -30,7 +30,7 @@ def ranked_terms(freqs: DataFrame) -> DataFrame:
     Ranks are counted within ranges of the sort order and shifted by the sizes of the ranges before,
     so no task has to hold the whole vocabulary."""
     w = Window.partitionBy("part").orderBy(F.desc("freq"), "term")
-    ranged = freqs.repartitionByRange(F.desc("freq"), F.asc("term")).withColumn("part", F.spark_partition_id())
+    ranged = written(freqs, "freqs").repartitionByRange(F.desc("freq"), F.asc("term")).withColumn("part", F.spark_partition_id())
     # The partition of a row must not be worked out twice, so the ranges are written first.
     ranged = materialise(ranged, "ranges")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
@@ -41,7 +41,7 @@ def ranked_terms(freqs: DataFrame) -> DataFrame:
 
 def zipf(freqs: DataFrame) -> DataFrame:
     """(rank, freq, zipf_pred): the prediction is the largest frequency over the rank."""
-    freqs = materialise(freqs, "freqs")  # read twice: not tokenised twice
+    freqs = written(freqs, "freqs")  # read twice: not tokenised twice
     top = freqs.agg(F.max("freq").alias("f1")).first()[0]
     return ranked_terms(freqs).select("rank", "freq", F.round(F.lit(float(top or 0)) / F.col("rank"), 6).alias("zipf_pred"))
 
@@ -69,7 +69,7 @@ def tokenizer_stats(documents: DataFrame, **options) -> DataFrame:
 
 def top_terms(freqs: DataFrame, n: int = 20, keep_stop_words: bool = True) -> DataFrame:
     """(term, freq, share) of the ``n`` most frequent; the share is of all tokens, in percent."""
-    freqs = materialise(freqs, "freqs")
+    freqs = written(freqs, "freqs")
     total = freqs.agg(F.sum("freq")).first()[0] or 0
     rows = freqs if keep_stop_words else freqs.where(~T.is_query_stop(F.col("term")))
     return rows.orderBy(F.desc("freq"), "term").limit(max(1, n)).select("term", "freq", (F.lit(100.0) * F.col("freq") / total).alias("share"))

@@ -55,6 +55,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 _MOVES = re.compile("Join|Aggregate|Window|Exchange|Repartition|Sort|Limit|InMemory|Stream")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself where it is little more than a scan, else written once: for plans that read it
+    again, as sampling the ranges of a sort does."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return materialise(df, name) if _MOVES.search(plan) or "Generate" in plan else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many tasks as there are cores, where it is a scan of fewer splits (a few small
     files): costly work on its rows would leave cores idle. Scans of enough splits stay as they are."""

@@ -129,3 +129,15 @@ def test_codec_of_many_lists():
     assert [data[a:b] for a, b in zip(ends[:-1], ends[1:])] == [codec.encode(x) for x in lists]
     docs, tfs, offsets = codec.decode_lists(np.frombuffer(data, np.uint8), ends)
     assert np.column_stack([docs, tfs]).tolist() == flat.tolist() and offsets.tolist() == at.tolist()
+
+
+def test_index_options(spark):
+    docs = spark.createDataFrame([(1, "ёлка 123 дом7"), (2, "длинный текст " * 20)], "doc_id long, text string")
+    plain = {r.term for r in index.postings(docs).collect()}
+    numbers = {r.term for r in index.postings(docs, index.IndexOptions(keep_numbers=True)).collect()}
+    assert "123" not in plain and {"123", "дом7"} <= numbers
+    assert {r.term for r in index.postings(docs, index.IndexOptions(yo_to_e=False)).where("doc_id = 1").collect()} != {r.term for r in index.postings(docs).where("doc_id = 1").collect()}
+    small = index.index_of(docs, index.IndexOptions(max_doc_bytes=100))
+    assert small.n_docs == 1 and {r.doc_id for r in small.docs.collect()} == {1}
+    ln = index.index_of(docs, index.IndexOptions(log_mode="ln"))
+    assert ln.log_mode == "ln" and [r.doc_id for r in rank.search(ln, "текст").collect()] == [2]
